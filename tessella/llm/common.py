@@ -104,11 +104,15 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def bounded_sample(labelled: DataFrame, id_col: str, text_col: str, rows: int, max_chars: int) -> DataFrame:
-    """At most `rows` rows, uniform by a hash of the id, none longer than max_chars.
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, rows: int, max_chars: int) -> list:
+    """[(id, text, label)] of at most `rows` labelled rows whose id satisfies `learn`, by a hash of the id.
 
-    Both bounds are parameters of the operators that learn from the sample; together
-    they bound what reaches the driver at any size of the corpus.
+    The label rows are sampled first, so that texts are fetched by a broadcast of at most
+    `rows` ids and are not shuffled. Texts of more than max_chars characters are left out;
+    both bounds hold at any size of the tables. Rows with a null id or label are left out.
     """
-    fit = labelled.where(F.length(text_col) <= max_chars)
-    return fit.orderBy(F.xxhash64(F.col(id_col), F.lit(7)), F.col(id_col), F.col(text_col)).limit(rows)
+    asked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
+    asked = asked.where(learn).orderBy(F.xxhash64(F.col("_id"), F.lit(7)), "_id", "_label").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= max_chars)
+    got = texts.join(F.broadcast(asked), "_id").orderBy(F.xxhash64(F.col("_id"), F.lit(7)), "_id", "_label", "_text").limit(rows).collect()
+    return [(r["_id"], r["_text"], r["_label"]) for r in got]

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import python_workers, session, staged
 
-#: Words in a seed; scores of an alignment; least score for a leak.
-SEED, HIT, MISS, GAP, LEAST = 3, 2, -1, -1, 0.5
+#: Words in a seed; scores of an alignment; least score for a leak. A leak also has to
+#: match as many words as LEAST_WORDS alone would, or the whole item if it is shorter.
+SEED, HIT, MISS, GAP, LEAST = 3, 2, -1, -1, 0.4
 #: Items in a block, and characters of an item's text that reach the driver at once are BLOCK_ITEMS times this.
 BLOCK_ITEMS = 5_000
+LEAST_WORDS = 8
 #: Words around a seed's expected place, as a share of the item, that the alignment sees.
 SLACK = 0.5
+#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -94,7 +97,7 @@ class Items:
             hit = self.grams[place] == code
             ns.append(place[hit])
             ats.append(at[hit])
-        return np.concatenate(ns), np.concatenate(ats)
+        return np.concatenate([np.empty(0, np.int64), *ns]), np.concatenate([np.empty(0, np.int64), *ats])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -248,7 +251,7 @@ def leaks_in(block: Items, places: dict[int, list[tuple[int, int]]], text: str |
             if score > best[0]:
                 best = score, lo + first, lo + end
         share = best[0] / (HIT * len(item))
-        if share >= LEAST:
+        if share >= LEAST and best[0] >= HIT * min(LEAST_WORDS, len(item)):
             out.append((k, share, best[1], best[2]))
     return out
 
@@ -256,4 +259,6 @@ def leaks_in(block: Items, places: dict[int, list[tuple[int, int]]], text: str |
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without a leak, with their own columns."""
     leaks = find_leaks(docs, benchmark, id_col, text_col, item_id, item_text).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti")
+    leaks = staged(leaks, "leaks")
+    few = leaks.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(leaks) if few else leaks, F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti")

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.common import crc_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(k: int, rest: int) -> Column:
+    """Whether a document is held out, by the contract's fold."""
+    return crc_of_id("doc_id") % k == rest
+
+
+def _learn(k: int, rest: int) -> Column:
+    return crc_of_id("_id") % k != rest
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import chat
 
@@ -20,12 +32,56 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chats(turns.unionByName(probe))))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import secret_scan
+
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    examples = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _learn(3, 1))
+    got = toxicity.score_documents(docs, examples)
+    return got.select("doc_id", _fold(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality_cnn
+
+    docs = _table(spark, sf_dir, "documents")
+    network = quality_cnn.fit(docs, _table(spark, sf_dir, "labels"), _learn(5, 0))
+    got = quality_cnn.score_documents(docs, network)
+    return got.select("doc_id", _fold(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import decontam
+
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import sharding
 
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import near_dedup
+
+    return near_dedup.link_documents(_table(spark, sf_dir, "documents"), words=2, least=0.8)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    got = langid.identify(docs, langid.fit(docs, _learn(4, 2)))
+    return got.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import quality_rules
 

@@ -184,9 +184,10 @@ def _verified(rows: DataFrame, text: str, rule: Rule, may: Column) -> DataFrame:
 
 def spans_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with a column `out`: all spans by start, then by the rules' order."""
-    found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias("_cand_id"), F.col("rules").alias("_cand"))
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = inner.join(found, F.col("_id").eqNullSafe(F.col("_cand_id")), "left")
+    found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias("_tessella_id"), F.col("rules").alias("_tessella_rules"))
+    # the text is shuffled once, as a column of docs; everything below happens after the join
+    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_tessella_id")), "left")
+    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col("_tessella_rules").alias("_cand"))
     for rule in rules:
         may = F.coalesce(F.array_contains("_cand", rule.kind), F.lit(False)) if trigram_query(rule.regex) != ALWAYS else F.lit(True)
         rows = _verified(rows, "_text", rule, may)
