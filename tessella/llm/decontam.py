@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import python_workers, session, staged
+from tessella.llm.common import fresh, python_workers, session, staged
 
 #: Words in a seed; scores of an alignment; least score for a leak. A leak also has to
 #: match as many words as LEAST_WORDS alone would, or the whole item if it is shorter.
@@ -258,7 +258,8 @@ def leaks_in(block: Items, places: dict[int, list[tuple[int, int]]], text: str |
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without a leak, with their own columns."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, item_id, item_text).select(F.col("doc_id").alias("_leak_id")).distinct()
+    leak_id = fresh(docs, "_leak_id")
+    leaks = find_leaks(docs, benchmark, id_col, text_col, item_id, item_text).select(F.col("doc_id").alias(leak_id)).distinct()
     leaks = staged(leaks, "leaks")
     few = leaks.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti")
+    return docs.join(F.broadcast(leaks) if few else leaks, F.col(id_col).eqNullSafe(F.col(leak_id)), "left_anti")

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import python_workers, session, staged
+from tessella.llm.common import fresh, python_workers, session, staged
 
 #: Buckets of the sketch, registers in a band. At a similarity of 0.8 a pair shares no
 #: band with a probability of (1 - 0.8 ** 6) ** 32, some 6 in 100,000.
@@ -301,5 +301,6 @@ def link_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document has the least id of its component, with their own columns."""
-    kept = link_documents(docs, words, least, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept_id = fresh(docs, "_kept_id")
+    kept = link_documents(docs, words, least, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")

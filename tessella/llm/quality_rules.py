@@ -206,6 +206,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with their own columns."""
     mark = "_q_"
-    while any(c.startswith(mark) for c in docs.columns):
+    while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
     return score_documents(docs, text_col, prefix=mark).where(F.col(mark + "kept")).select(*docs.columns)

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import running_starts
+from tessella.llm.common import fresh, running_starts
 
 
 @dataclass(frozen=True)
@@ -184,10 +184,11 @@ def _verified(rows: DataFrame, text: str, rule: Rule, may: Column) -> DataFrame:
 
 def spans_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with a column `out`: all spans by start, then by the rules' order."""
-    found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias("_tessella_id"), F.col("rules").alias("_tessella_rules"))
+    cand_id, cand = fresh(docs, "_cand_id"), fresh(docs, "_cand")
+    found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias(cand_id), F.col("rules").alias(cand))
     # the text is shuffled once, as a column of docs; everything below happens after the join
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_tessella_id")), "left")
-    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col("_tessella_rules").alias("_cand"))
+    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col(cand_id)), "left")
+    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(cand).alias("_cand"))
     for rule in rules:
         may = F.coalesce(F.array_contains("_cand", rule.kind), F.lit(False)) if trigram_query(rule.regex) != ALWAYS else F.lit(True)
         rows = _verified(rows, "_text", rule, may)
@@ -214,18 +215,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by `mark`; overlapping spans give one mark. Null texts stay null."""
-    name = "_found"
+    name, merged = fresh(docs, "_found"), fresh(docs, "_merged")
     got = spans_of(docs, rules, id_col, text_col, out=name)
-    merged = (
-        f"aggregate({name}, cast(array() as array<struct<start: bigint, end: bigint>>), (a, x) -> "
-        "if(size(a) > 0 and x.start < element_at(a, -1).end, "
+    none = "cast(array() as array<struct<start: bigint, end: bigint>>)"
+    joined = (
+        f"aggregate({name}, {none}, (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).end, "
         "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, cast(x.end as bigint))))), "
         "array_append(a, named_struct('start', cast(x.start as bigint), 'end', cast(x.end as bigint)))))"
     )
-    got = got.withColumn("_merged", F.when(F.size(name) > 0, F.expr(merged)).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")))
+    got = got.withColumn(merged, F.expr(f"if(size({name}) > 0, {joined}, {none})"))
     text = f"`{text_col}`"
-    parts = f"transform(_merged, (x, i) -> concat(substring({text}, cast(coalesce(get(_merged, i - 1).end, 0) as int) + 1, cast(x.start - coalesce(get(_merged, i - 1).end, 0) as int)), '{mark}'))"
-    clean = f"if(size(_merged) = 0, {text}, concat(array_join({parts}, ''), substring({text}, cast(element_at(_merged, -1).end as int) + 1)))"
+    before = f"coalesce(get({merged}, i - 1).end, 0L)"
+    parts = f"transform({merged}, (x, i) -> concat(substring({text}, cast({before} as int) + 1, cast(x.start - {before} as int)), '{mark}'))"
+    clean = f"if(size({merged}) = 0, {text}, concat(array_join({parts}, ''), substring({text}, cast(element_at({merged}, -1).end as int) + 1)))"
     return got.withColumn(text_col, F.expr(clean)).select(*docs.columns)
 
 
@@ -233,7 +235,7 @@ def brute_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, s
     """What `scan` must find, by Python's own regular expressions; for tests."""
     out = []
     for k, r in enumerate(rules):
-        for m in re.finditer(r.regex, text):
+        for m in re.finditer(r.regex, text, re.ASCII):
             if len(m[r.group]) >= r.least:
                 out.append((m.start(), k, r.kind, m.end()))
     return [(s, kind, e) for s, _, kind, e in sorted(out)]
