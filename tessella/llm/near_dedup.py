@@ -6,15 +6,23 @@
    one byte.
 2. Documents with equal sets are one class (a group-by on the digest with partial
    aggregation); from here on only class representatives are compared.
-3. Bands of registers are candidate keys. Within a key every class is compared with the
-   least class of the key only (a star), which is linear in the key's classes however
-   large the key is.
+3. Bands of registers are candidate keys. Each key has a centre, its class that shares
+   most keys with others, and every class of the key is compared with the centre only (a
+   star), which is linear in the key's classes however large the key is.
 4. Candidates are filtered by the collision-corrected Jaccard estimate of the registers,
    with a margin of several standard errors, and verified on full shingle sets.
-5. Verified stars are contracted into components. Keys that still hold classes of
-   different components get the pairs *across* components compared in the same way, so no
-   link between different texts within a key is lost; members of one component need no
-   further comparison.
+5. Verified stars are contracted into components. Links may be left between an outlier x
+   (near the centre a, but not linked with it) and another class b near a. Such a pair
+   must share more than g(b) = k |b| + (1 - k) |a| - |a & b| elements of the differences
+   x ^ a and b ^ a, where k = s / (1 + s) for the similarity s: that is what the triangle
+   of sets leaves. So the differences are joined by prefix filtering, elements foreign to
+   the centre first. Copies with edits of their own share none, and a group of m edited
+   copies costs some m rows, not m * m.
+6. Other classes of a key that lie in different components are compared in pairs, where
+   192 bits of the registers, read in the join itself, allow the similarity.
+
+No link between different texts within a key is lost; members of one component need no
+further comparison.
 
 Verification streams: the members of a star are read one by one against its centre, in
 chunks bounded in bytes, so a group of any size is neither collected nor in one task.
@@ -48,7 +56,7 @@ MARGIN = 5.0
 #: Texts (bytes) that one task compares with one centre, about.
 CHUNK_BYTES = 8 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 20_000
+BROADCAST_IDS = 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -123,8 +131,13 @@ def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return j, np.sqrt(0.25 / used)
 
 
+def sign_bits(sketch: np.ndarray) -> np.ndarray:
+    """One bit of each register, as BUCKETS / 64 signed integers."""
+    return np.packbits((sketch & 1) ^ (sketch > 0)).view(">i8").astype(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, n_bytes, digest (of the set), sketch, for every row."""
+    """doc_id, n_shingles, n_bytes, digest (of the set), sketch, filled (registers), bits, for every row."""
     import hashlib
 
     import pyarrow as pa
@@ -134,20 +147,23 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
     def made(batches: Iterator[Any]) -> Iterator[Any]:
         for b in batches:
-            n, size, digest, sketch = [], [], [], []
+            n, size, digest, sketch, filled, bits = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
+                r = registers(s)
                 n.append(len(s))
                 size.append(len(t or ""))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sketch.append(registers(s).tobytes())
+                sketch.append(r.tobytes())
+                filled.append(int((r > 0).sum()))
+                bits.append(sign_bits(r).tolist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "n_bytes", "digest", "sketch"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(filled, pa.int32()), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "n_bytes", "digest", "sketch", "filled", "bits"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(made, f"doc_id {kind}, n_shingles bigint, n_bytes bigint, digest binary, sketch binary")
+    return rows.mapInArrow(made, f"doc_id {kind}, n_shingles bigint, n_bytes bigint, digest binary, sketch binary, filled int, bits array<bigint>")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -166,10 +182,17 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return rows.select("id", "n", F.xxhash64("i", "band", "c").alias("key"))
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """id, n, key, a, na: the keys that two classes or more share, with the least class and its size."""
-    first = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1")
-    return keys.join(first.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("na")), "key")
+def centred_keys(keys: DataFrame) -> DataFrame:
+    """id, n, key, a, na: the keys that two classes or more share, with the centre and its size.
+
+    The centre is the class that shares most, summed over its keys: of edited copies, one
+    that is close to what they were made from.
+    """
+    shared = staged(keys.selectExpr("*", "count(1) over (partition by key) as m").where("m > 1"), "shared")
+    known = shared.groupBy("id").agg(F.sum("m").alias("known"))
+    shared = shared.join(known, "id")
+    first = shared.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("known", "id")).alias("first"))
+    return shared.join(first, "key").select("id", "n", "key", F.col("first.id").alias("a"), F.col("first.n").alias("na"))
 
 
 def _close(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -193,7 +216,8 @@ def _close(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, least: float, name: str) -> DataFrame:
-    """The pairs (centre a, member b) whose full sets reach `least`.
+    """a, b, linked, differs: whether the full sets of centre a and member b reach `least`,
+    and the prefix of their difference that `_of_differences` needs.
 
     Only texts of ids in pairs are read on. Members are dealt to (centre, chunk) by bytes;
     each chunk gets the centre's text once, sorted before its members, and is a stream.
@@ -214,22 +238,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     centres = chunks.join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(None).cast(kind).alias("b"), "text")
     rows = members.unionByName(centres).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
-    def linked(batches: Iterator[Any]) -> Iterator[Any]:
+    def compared(batches: Iterator[Any]) -> Iterator[Any]:
         centre = np.empty(0, np.uint64)
         for t in batches:
-            out_a, out_b = [], []
+            out: list[tuple] = []
             for a, b, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
                 s = shingle_set(text, words)
                 if b is None:
                     centre = s
-                    continue
-                shared = shared_size(centre, s)
-                if 100 * shared >= hundredths * (len(s) + len(centre) - shared):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, t.schema.field(0).type), pa.array(out_b, t.schema.field(0).type)], names=["a", "b"])
+                else:
+                    out.append((a, b, *difference(centre, s, hundredths)))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (t.schema.field(0).type, t.schema.field(1).type, pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "differs"])
+
+    return rows.select("a", "b", "text").mapInArrow(compared, f"a {kind}, b {kind}, linked boolean, differs array<bigint>")
 
-    return rows.select("a", "b", "text").mapInArrow(linked, f"a {kind}, b {kind}")
+
+def difference(centre: np.ndarray, s: np.ndarray, hundredths: int) -> tuple[bool, list[int]]:
+    """(whether s is linked with the centre, the prefix of s ^ centre).
+
+    A class that is linked with s but not both it and s with the centre shares with s
+    more elements of the difference than are outside the prefix. Elements that the centre
+    lacks come first.
+    """
+    at = np.searchsorted(centre, s)
+    at[at == len(centre)] = 0
+    old = centre[at] == s if len(centre) else np.zeros(len(s), bool)
+    shared = int(old.sum())
+    linked = 100 * shared >= hundredths * (len(s) + len(centre) - shared)
+    gone = np.ones(len(centre), bool)
+    gone[at[old]] = False
+    all_of = np.concatenate([s[~old], centre[gone]]).view(np.int64).tolist()
+    # overlap > g for a linked s; for an outlier, overlap >= h; both times 100 + hundredths
+    if linked:
+        bound = hundredths * len(s) + 100 * len(centre) - (100 + hundredths) * shared
+        needed = bound // (100 + hundredths) + 1
+    else:
+        bound = hundredths * (len(s) + len(centre)) - (100 + hundredths) * shared
+        needed = -(-bound // (100 + hundredths))
+    return linked, all_of[: max(0, len(all_of) - max(1, needed) + 1)]
+
+
+def _of_differences(stars: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an outlier and another class near the same centre, in different components, that may be linked."""
+    outlying = stars.where("not linked").select("a").distinct()
+    near = stars.join(outlying, "a").join(comp.select(F.col("id").alias("b"), "comp"), "b")
+    near = near.select("a", "b", "comp", "linked", F.explode("differs").alias("e"))
+    x = near.where("not linked").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("cx"))
+    pairs = x.join(near.select("a", "e", "b", "comp"), ["a", "e"]).where("cx <> comp")
+    return pairs.select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")).distinct()
 
 
 def shared_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -275,26 +333,34 @@ def link_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         one = staged(sketches(rows, words, "id", "text"), "one")
     one = one.where("doc_id is not null")
     texts = rows.where("id is not null and text is not null")
-    classes = one.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "n_bytes", "sketch")).alias("x"))
+    of_class = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "n_bytes", "sketch", "filled", "bits"))
+    classes = one.where("n_shingles > 0").groupBy("digest").agg(of_class.alias("x"))
     classes = staged(classes.select("digest", "x.*"), "classes")
 
-    keys = staged(shared_keys(band_keys(classes)), "keys")
+    keys = staged(centred_keys(band_keys(classes)), "keys")
     size = round(100 * least)
     stars = keys.where(f"id <> a and 100 * least(n, na) >= {size} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
-    links = staged(_verified(_close(stars, classes, least), texts, classes, words, least, "star"), "links")
-
+    stars = staged(_verified(_close(stars, classes, least), texts, classes, words, least, "star"), "stars")
+    links = stars.where("linked").select("a", "b")
     comp = components(classes.select("id"), links, "star")
-    placed = staged(keys.select("key", "id", "n").join(comp, "id"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    across = left.join(right, "key").where(f"ca < cb and 100 * least(na, nb) >= {size} * greatest(na, nb)").select("a", "b").distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _verified(_close(across, classes, least), texts, classes, words, least, "across")
+
+    nearby = stars.select("a", F.col("b").alias("id"), F.lit(True).alias("near"))
+    placed = keys.join(nearby, ["a", "id"], "left").selectExpr("key", "id", "n", "id = a or coalesce(near, false) as near")
+    placed = staged(placed.join(comp, "id"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("near").alias("all_near")).where("lo <> hi and not all_near").select("key")
+    rest = placed.join(mixed, "key", "left_semi").join(classes.select("id", "filled", "bits"), "id")
+    left, right = (rest.selectExpr("key", f"id as {x}", f"comp as c{x}", f"n as n{x}", f"near as near{x}", f"filled as f{x}", *(f"bits[{k}] as {x}{k}" for k in range(BUCKETS // 64))) for x in "xy")
+    unlike = " + ".join(f"bit_count(x{k} ^ y{k})" for k in range(BUCKETS // 64))
+    # registers of linked sets differ in one of five at most, and half of these in their bit
+    likely = f"1.1 * {(1 - least) / 2} * greatest(fx, fy) + {MARGIN} * sqrt({(1 - least) / 2 * (1 - (1 - least) / 2)} * 1.1 * greatest(fx, fy))"
+    across = left.join(right, "key").where(f"cx < cy and not (nearx and neary) and 100 * least(nx, ny) >= {size} * greatest(nx, ny) and {unlike} <= {likely}")
+    across = across.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    across = across.unionByName(_of_differences(stars, comp)).distinct()
+    more = _verified(_close(across, classes, least), texts, classes, words, least, "across").where("linked").select("a", "b")
 
     final = components(classes.select("id"), links.unionByName(more), "all")
-    of_class = classes.select("digest", "id").join(final, "id").select("digest", "comp")
-    placed = one.where("n_shingles > 0").select("doc_id", "digest").join(of_class, "digest").select("doc_id", "comp")
+    labelled = classes.select("digest", "id").join(final, "id").select("digest", "comp")
+    placed = one.where("n_shingles > 0").select("doc_id", "digest").join(labelled, "digest").select("doc_id", "comp")
     out = made.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.expr("doc_id <=> coalesce(comp, doc_id)").alias("kept"))
 
