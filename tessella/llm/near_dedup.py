@@ -183,7 +183,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
 
 
 def centred_keys(keys: DataFrame) -> DataFrame:
-    """id, n, key, a, na: the keys that two classes or more share, with the centre and its size.
+    """id, n, key, a, na, known: the keys that two classes or more share, with the centre and its size.
 
     The centre is the class that shares most, summed over its keys: of edited copies, one
     that is close to what they were made from.
@@ -191,8 +191,8 @@ def centred_keys(keys: DataFrame) -> DataFrame:
     shared = staged(keys.selectExpr("*", "count(1) over (partition by key) as m").where("m > 1"), "shared")
     known = shared.groupBy("id").agg(F.sum("m").alias("known"))
     shared = shared.join(known, "id")
-    first = shared.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("known", "id")).alias("first"))
-    return shared.join(first, "key").select("id", "n", "key", F.col("first.id").alias("a"), F.col("first.n").alias("na"))
+    first = shared.groupBy("key").agg(F.max(F.struct("known", "id", "n")).alias("first"))
+    return shared.join(first, "key").select("id", "n", "key", F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("first.known").alias("known"))
 
 
 def _close(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -280,13 +280,19 @@ def difference(centre: np.ndarray, s: np.ndarray, hundredths: int) -> tuple[bool
     return linked, all_of[: max(0, len(all_of) - max(1, needed) + 1)]
 
 
-def _of_differences(stars: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an outlier and another class near the same centre, in different components, that may be linked."""
+def _of_differences(stars: DataFrame, comp: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an outlier and another class near the same centre, in different components, that may be linked.
+
+    Each class has a main centre, the best known one that it is near. Two classes with the
+    same main centre are joined there only: it is closest to what they were edited from,
+    so their differences from it are mostly edits of their own.
+    """
+    main = stars.join(centres, "a").groupBy("b").agg(F.max_by("a", F.struct("known", "a")).alias("main"))
     outlying = stars.where("not linked").select("a").distinct()
-    near = stars.join(outlying, "a").join(comp.select(F.col("id").alias("b"), "comp"), "b")
-    near = near.select("a", "b", "comp", "linked", F.explode("differs").alias("e"))
-    x = near.where("not linked").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("cx"))
-    pairs = x.join(near.select("a", "e", "b", "comp"), ["a", "e"]).where("cx <> comp")
+    near = stars.join(outlying, "a").join(main, "b").join(comp.select(F.col("id").alias("b"), "comp"), "b")
+    near = near.select("a", "b", "comp", "main", "linked", F.explode("differs").alias("e"))
+    x = near.where("not linked").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("cx"), F.col("main").alias("mx"))
+    pairs = x.join(near.select("a", "e", "b", "comp", "main"), ["a", "e"]).where("cx <> comp and not (mx = main and mx <> a)")
     return pairs.select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")).distinct()
 
 
@@ -355,7 +361,7 @@ def link_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     likely = f"1.1 * {(1 - least) / 2} * greatest(fx, fy) + {MARGIN} * sqrt({(1 - least) / 2 * (1 - (1 - least) / 2)} * 1.1 * greatest(fx, fy))"
     across = left.join(right, "key").where(f"cx < cy and not (nearx and neary) and 100 * least(nx, ny) >= {size} * greatest(nx, ny) and {unlike} <= {likely}")
     across = across.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    across = across.unionByName(_of_differences(stars, comp)).distinct()
+    across = across.unionByName(_of_differences(stars, comp, keys.select("a", "known").distinct())).distinct()
     more = _verified(_close(across, classes, least), texts, classes, words, least, "across").where("linked").select("a", "b")
 
     final = components(classes.select("id"), links.unionByName(more), "all")
