@@ -48,11 +48,14 @@ from tessella.llm.common import fresh, python_workers, session, staged
 #: Buckets of the sketch, registers in a band. At a similarity of 0.8 a pair shares no
 #: band with a probability of (1 - 0.8 ** 6) ** 32, some 6 in 100,000.
 BUCKETS, BAND = 192, 6
+#: Estimates above this are near: their differences from the centre are kept.
+NEAR = 0.62
 #: A register: leading zeros (at most 15) and mantissa bits; 0 is an empty bucket.
 MANTISSA = 4
-#: Chance that registers of unlike buckets agree, and the margin for estimates, in standard errors.
+#: Chance that registers of unlike buckets agree, and the margin for estimates, in standard
+#: errors at the similarity asked for: some 3 in 100,000 estimates fall below it.
 COLLISION = 0.021
-MARGIN = 5.0
+MARGIN = 4.0
 #: Texts (bytes) that one task compares with one centre, about.
 CHUNK_BYTES = 8 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
@@ -124,11 +127,11 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of rows of registers, corrected for chance agreement, and their standard errors."""
+    """Jaccard estimates of rows of registers, corrected for chance agreement, and the registers they rest on."""
     used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
     same = ((a == b) & (a > 0)).sum(1) / used
     j = np.clip((same - COLLISION) / (1 - COLLISION), 0, 1)
-    return j, np.sqrt(0.25 / used)
+    return j, used
 
 
 def sign_bits(sketch: np.ndarray) -> np.ndarray:
@@ -195,8 +198,8 @@ def centred_keys(keys: DataFrame) -> DataFrame:
     return shared.join(first, "key").select("id", "n", "key", F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("first.known").alias("known"))
 
 
-def _close(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimate reaches `least` less the margin."""
+def _close(pairs: DataFrame, classes: DataFrame, least: float, near: float = 1.0) -> DataFrame:
+    """The pairs (a, b) whose estimate reaches `least` less the margin, or `near`."""
     import pyarrow as pa
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -208,16 +211,17 @@ def _close(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             if not n:
                 continue
             sa, sb = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(n, BUCKETS) for k in (2, 3))
-            j, err = estimated(sa, sb)
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(j >= least - MARGIN * err))
+            j, used = estimated(sa, sb)
+            likely = j >= np.minimum(near, least - MARGIN * np.sqrt(least * (1 - least) / used))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(likely))
 
     kind = classes.schema["id"].dataType.simpleString()
     return both.select("a", "b", "sa", "sb").mapInArrow(kept, f"a {kind}, b {kind}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, least: float, name: str) -> DataFrame:
-    """a, b, linked, differs: whether the full sets of centre a and member b reach `least`,
-    and the prefix of their difference that `_of_differences` needs.
+    """a, b, linked, differs, prefix: whether the full sets of centre a and member b reach
+    `least`, their difference, and how much of it `_of_differences` needs.
 
     Only texts of ids in pairs are read on. Members are dealt to (centre, chunk) by bytes;
     each chunk gets the centre's text once, sorted before its members, and is a stream.
@@ -227,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     hundredths = round(100 * least)
     pairs = staged(pairs, f"{name}-pairs")
     kind = pairs.schema["a"].dataType.simpleString()
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"{name}-texts")
     size = classes.select(F.col("id").alias("b"), "n_bytes")
@@ -248,15 +252,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
                     centre = s
                 else:
                     out.append((a, b, *difference(centre, s, hundredths)))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (t.schema.field(0).type, t.schema.field(1).type, pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "differs"])
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (t.schema.field(0).type, t.schema.field(1).type, pa.bool_(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "differs", "prefix"])
 
-    return rows.select("a", "b", "text").mapInArrow(compared, f"a {kind}, b {kind}, linked boolean, differs array<bigint>")
+    return rows.select("a", "b", "text").mapInArrow(compared, f"a {kind}, b {kind}, linked boolean, differs array<bigint>, prefix int")
 
 
-def difference(centre: np.ndarray, s: np.ndarray, hundredths: int) -> tuple[bool, list[int]]:
-    """(whether s is linked with the centre, the prefix of s ^ centre).
+def difference(centre: np.ndarray, s: np.ndarray, hundredths: int) -> tuple[bool, list[int], int]:
+    """(whether s is linked with the centre, s ^ centre, the length of the prefix of that).
 
     A class that is linked with s but not both it and s with the centre shares with s
     more elements of the difference than are outside the prefix. Elements that the centre
@@ -277,10 +281,32 @@ def difference(centre: np.ndarray, s: np.ndarray, hundredths: int) -> tuple[bool
     else:
         bound = hundredths * (len(s) + len(centre)) - (100 + hundredths) * shared
         needed = -(-bound // (100 + hundredths))
-    return linked, all_of[: max(0, len(all_of) - max(1, needed) + 1)]
+    return linked, all_of, max(0, len(all_of) - max(1, needed) + 1)
 
 
-def _of_differences(stars: DataFrame, comp: DataFrame, centres: DataFrame) -> DataFrame:
+def _recentred(stars: DataFrame) -> DataFrame:
+    """(a, b, known): stars with outliers once more, around the class closest to the majority.
+
+    An element that more than half of a star's classes differ in from the centre is in most
+    of them, or the centre's own; the class whose difference is closest to these elements
+    becomes the centre a of all classes b of the star, if it is not the centre already.
+    """
+    near = stars.join(stars.where("not linked").select("a").distinct(), "a")
+    size = near.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    each = near.select("a", "b", F.explode("differs").alias("e"))
+    major = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df")).join(size, "a").where("2 * df > m").select("a", "e")
+    of = major.groupBy("a").agg(F.count(F.lit(1)).alias("majority"))
+    held = each.join(major, ["a", "e"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"))
+    off = near.select("a", "b", F.size("differs").alias("d")).join(held, ["a", "b"], "left").join(of, "a")
+    off = off.selectExpr("a", "b", "majority", "d + majority - 2 * coalesce(held, 0) as off")
+    best = off.groupBy("a").agg(F.min(F.struct("off", "b")).alias("best"), F.first("majority").alias("majority")).where("best.off < majority")
+    best = best.join(size, "a").select("a", F.col("best.b").alias("c"), "m")
+    members = near.select("a", "b").union(best.select("a", F.col("a").alias("b")))
+    moved = members.join(best, "a").where("b <> c").select(F.col("c").alias("a"), "b", "m")
+    return moved.groupBy("a", "b").agg(F.max("m").alias("known"))
+
+
+def _of_differences(stars: DataFrame, comp: DataFrame, centres: DataFrame, classes: DataFrame, likely: str) -> DataFrame:
     """Pairs (a, b) of an outlier and another class near the same centre, in different components, that may be linked.
 
     Each class has a main centre, the best known one that it is near. Two classes with the
@@ -288,12 +314,18 @@ def _of_differences(stars: DataFrame, comp: DataFrame, centres: DataFrame) -> Da
     so their differences from it are mostly edits of their own.
     """
     main = stars.join(centres, "a").groupBy("b").agg(F.max_by("a", F.struct("known", "a")).alias("main"))
-    outlying = stars.where("not linked").select("a").distinct()
-    near = stars.join(outlying, "a").join(main, "b").join(comp.select(F.col("id").alias("b"), "comp"), "b")
-    near = near.select("a", "b", "comp", "main", "linked", F.explode("differs").alias("e"))
-    x = near.where("not linked").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("cx"), F.col("main").alias("mx"))
-    pairs = x.join(near.select("a", "e", "b", "comp", "main"), ["a", "e"]).where("cx <> comp and not (mx = main and mx <> a)")
-    return pairs.select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")).distinct()
+    near = stars.join(stars.where("not linked").select("a").distinct(), "a").join(main, "b")
+    near = near.join(comp.select(F.col("id").alias("b"), "comp"), "b").join(classes.select(F.col("id").alias("b"), "filled", "bits"), "b")
+    near = near.select("a", "b", "comp", "main", "linked", "filled", "bits", F.explode(F.expr("slice(differs, 1, prefix)")).alias("e"))
+    left, right = (near.where("not linked" if x == "x" else "true").select("a", "e", *_named(x, ("main",))) for x in "xy")
+    pairs = left.join(right, ["a", "e"]).where(f"cx <> cy and not (mainx = mainy and mainx <> a) and {likely}")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _named(x: str, more: tuple[str, ...]) -> list:
+    """Columns of one side of a join of classes: id, component, filled registers and bits, named after the side."""
+    from_id = F.col("b").alias(x)
+    return [from_id, F.col("comp").alias(f"c{x}"), F.col("filled").alias(f"f{x}"), *(F.col("bits")[k].alias(f"{x}{k}") for k in range(BUCKETS // 64)), *(F.col(m).alias(f"{m}{x}") for m in more)]
 
 
 def shared_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -346,22 +378,28 @@ def link_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     keys = staged(centred_keys(band_keys(classes)), "keys")
     size = round(100 * least)
     stars = keys.where(f"id <> a and 100 * least(n, na) >= {size} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
-    stars = staged(_verified(_close(stars, classes, least), texts, classes, words, least, "star"), "stars")
+    stars = staged(_verified(_close(stars, classes, least, NEAR), texts, classes, words, least, "star"), "stars")
+    again = staged(_recentred(stars), "again")
+    moved = _verified(_close(again.select("a", "b"), classes, least, NEAR), texts, classes, words, least, "moved")
+    stars = staged(stars.unionByName(moved).dropDuplicates(["a", "b"]), "all-stars")
+    # a centre that was chosen for a majority goes before all others
+    centres = keys.select("a", "known").union(again.selectExpr("a", f"known + {1 << 60}")).groupBy("a").agg(F.max("known").alias("known"))
     links = stars.where("linked").select("a", "b")
-    comp = components(classes.select("id"), links, "star")
+    comp = staged(components(classes.select("id"), links, "star"), "comp")
 
     nearby = stars.select("a", F.col("b").alias("id"), F.lit(True).alias("near"))
     placed = keys.join(nearby, ["a", "id"], "left").selectExpr("key", "id", "n", "id = a or coalesce(near, false) as near")
     placed = staged(placed.join(comp, "id"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("near").alias("all_near")).where("lo <> hi and not all_near").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(classes.select("id", "filled", "bits"), "id")
-    left, right = (rest.selectExpr("key", f"id as {x}", f"comp as c{x}", f"n as n{x}", f"near as near{x}", f"filled as f{x}", *(f"bits[{k}] as {x}{k}" for k in range(BUCKETS // 64))) for x in "xy")
+    rest = placed.join(mixed, "key", "left_semi").join(classes.select("id", "filled", "bits"), "id").withColumnRenamed("id", "b")
+    left, right = (rest.select("key", *_named(x, ("n", "near"))) for x in "xy")
     unlike = " + ".join(f"bit_count(x{k} ^ y{k})" for k in range(BUCKETS // 64))
     # registers of linked sets differ in one of five at most, and half of these in their bit
-    likely = f"1.1 * {(1 - least) / 2} * greatest(fx, fy) + {MARGIN} * sqrt({(1 - least) / 2 * (1 - (1 - least) / 2)} * 1.1 * greatest(fx, fy))"
-    across = left.join(right, "key").where(f"cx < cy and not (nearx and neary) and 100 * least(nx, ny) >= {size} * greatest(nx, ny) and {unlike} <= {likely}")
+    half = (1 - least) / 2
+    likely = f"{unlike} <= {1.1 * half} * greatest(fx, fy) + {MARGIN} * sqrt({1.1 * half * (1 - half)} * greatest(fx, fy))"
+    across = left.join(right, "key").where(f"cx < cy and not (nearx and neary) and 100 * least(nx, ny) >= {size} * greatest(nx, ny) and {likely}")
     across = across.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    across = across.unionByName(_of_differences(stars, comp, keys.select("a", "known").distinct())).distinct()
+    across = across.unionByName(_of_differences(stars, comp, centres, classes, likely)).distinct()
     more = _verified(_close(across, classes, least), texts, classes, words, least, "across").where("linked").select("a", "b")
 
     final = components(classes.select("id"), links.unionByName(more), "all")
