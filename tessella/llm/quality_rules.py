@@ -1,7 +1,7 @@
 """Quality rules combined by weak supervision.
 
 Each rule looks at statistics of a whole text and votes good, bad or abstains. The votes
-of all documents are counted by pattern (at most 3 ** rules of them, whatever the corpus),
+of all documents that pass the two base rules are counted by pattern (at most 3 ** rules of them, whatever the corpus),
 expectation-maximisation on these counts estimates how often each rule is right on good
 and on bad documents and how common good ones are, and each document gets the posterior
 probability of being good. Documents that fail the two base rules are never kept.
@@ -32,10 +32,13 @@ from tessella.llm.common import python_workers, session
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_AT = 0.5
+RIGHT_GOOD, RIGHT_BAD, PRIOR_VOTES = 0.97, 0.4, 20
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _NOT_UPPER = bytes(set(range(256)) - set(_UPPER))
 _NOT_LOWER = bytes(set(range(256)) - set(_LOWER))
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_marks")
+_ASCII, _WIDE = bytes(range(128)), bytes(range(128, 256))
+_PLAIN = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in BLANKS + ".,;:?'\"()-")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_marks", "n_wide", "n_odd")
 BASE_STATS = STATS[:5]
 
 
@@ -46,7 +49,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     words = raw.split()  # bytes split at exactly the ASCII blanks
     n = len(words)
     if not n:
-        return (0, 0, sum(map(text.count, SYMBOLS)), *[0] * 7)
+        return (0, 0, sum(map(text.count, SYMBOLS)), *[0] * (len(STATS) - 3))
     number: dict[bytes, int] = defaultdict(count().__next__)
     ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
@@ -61,6 +64,8 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         len(raw.translate(None, _NOT_UPPER)),
         len(raw.translate(None, _NOT_LOWER)),
         text.count("!"),
+        len(text) - len(raw.translate(None, _WIDE)),
+        len(raw.translate(None, _WIDE + _PLAIN)),
     )
 
 
@@ -97,6 +102,8 @@ RULES = (
     ("variety", lambda s: 0 if s["n_words"] > 5000 else 1 if s["n_distinct"] / s["n_words"] >= 0.25 else -1 if s["n_distinct"] / s["n_words"] < 0.1 else 0),
     ("capitals", lambda s: _vote(s["n_upper"] / max(1, s["n_upper"] + s["n_lower"]), 0.15, 0.4)),
     ("marks", lambda s: _vote(s["n_marks"] / s["n_words"], 0.05, 0.25)),
+    ("letters", lambda s: _vote(1 - (s["n_upper"] + s["n_lower"] + s["n_wide"]) / s["word_chars"], 0.07, 0.12)),
+    ("odd", lambda s: _vote(s["n_odd"] / s["n_words"], 0.06, 0.2)),
 )
 
 
@@ -121,20 +128,22 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> dict:
     """Expectation-maximisation over pattern counts.
 
     Each rule that votes is right with one probability on good and one on bad documents.
-    Both start at 0.85 and keep a prior of 20 votes there, which ties the two classes to
-    the votes' meaning and makes the result defined for any counts.
+    They start at RIGHT_GOOD and RIGHT_BAD: rules seldom blame a good document, and each
+    is blind to much of what is bad. A prior of PRIOR_VOTES votes there ties the classes
+    to the votes' meaning and makes the result defined for any counts.
     """
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
     v = np.array([votes(c) for c in codes]).reshape(len(codes), len(RULES))
-    right = {1: np.full(len(RULES), 0.85), -1: np.full(len(RULES), 0.85)}
+    start = {1: RIGHT_GOOD, -1: RIGHT_BAD}
+    right = {y: np.full(len(RULES), p) for y, p in start.items()}
     share = 0.8
     for _ in range(rounds if len(codes) else 0):
         p = _posterior(v, share, right)
         share = (float(n @ p) + 8) / (n.sum() + 10)
         for y, w in ((1, n * p), (-1, n * (1 - p))):
             hit, said = w @ (v == y), w @ (v != 0)
-            right[y] = np.clip((hit + 17) / (said + 20), 0.5, 0.995)
+            right[y] = np.clip((hit + start[y] * PRIOR_VOTES) / (said + PRIOR_VOTES), 0.5 if y > 0 else 0.01, 0.995)
     return {"share": share, "right_good": right[1].tolist(), "right_bad": right[-1].tolist()}
 
 
@@ -151,7 +160,7 @@ def posterior(model: dict, codes: list[int]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict:
-    """The estimates from the votes on all documents."""
+    """The estimates from the votes on all documents that the base rules do not settle."""
     import pyarrow as pa
 
     python_workers(session(docs))
@@ -159,8 +168,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     def patterns(batches: Iterator[Any]) -> Iterator[Any]:
         seen: dict[int, int] = defaultdict(int)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen[pattern(text_stats(t))] += 1
+            for s in map(text_stats, b.column(0).to_pylist()):
+                if not base_failed(s):
+                    seen[pattern(s)] += 1
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counted = docs.select(text_col).mapInArrow(patterns, "pattern bigint, n bigint")
