@@ -60,10 +60,12 @@ _add(
 
 # aggregates: of all rows, of groups, and of no rows
 def _aggregate(name: str, table: str, key: str, a: Aggregate, sql: str, after: Callable[[Column], Column] | None = None) -> None:
+    absent = "none" if key in ("event_type", "p_brand") else "-1"
+
     def run(by: list[str], none: bool) -> Query:
         def f(spark: SparkSession, d: str) -> DataFrame:
             rows = _t(spark, d, table)
-            out = summarize(where(rows, eq(key, -1) if rows.schema[key].dataType.simpleString() != "string" else eq(key, "\x00")) if none else rows, [a.named("x")], by)
+            out = summarize(where(rows, eq(key, absent)) if none else rows, [a.named("x")], by)
             return out.withColumn("x", after(F.col("x"))) if after else out
 
         return f
@@ -72,8 +74,7 @@ def _aggregate(name: str, table: str, key: str, a: Aggregate, sql: str, after: C
     _add(f"group_{name}", f"SELECT {key}, {sql} AS x FROM {table} GROUP BY {key}", run([key], False))
     empty = sql.replace(" // COUNT(*)", " // NULLIF(COUNT(*), 0)")
     empty = f"COALESCE({empty}, 0)" if name.startswith(("sum", "avg_int")) else empty
-    never = f"{key} = '\x00'" if key in ("event_type", "p_brand") else f"{key} = -1"
-    _add(f"empty_{name}", f"SELECT {empty} AS x FROM {table} WHERE {never.replace(chr(0), '~none~')}", run([], True))
+    _add(f"empty_{name}", f"SELECT {empty} AS x FROM {table} WHERE CAST({key} AS VARCHAR) = '{absent}'", run([], True))
 
 
 _aggregate("count", "lineitem", "l_suppkey", count_all(), "COUNT(*)")
