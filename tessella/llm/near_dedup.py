@@ -37,6 +37,7 @@ columns are not read (`keep_first` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -337,7 +338,7 @@ def shared_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def components(nodes: DataFrame, links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """id, comp: for each node of `links` the least id that links reach, by alternating star contractions.
 
     Each round hangs the larger neighbours of a node, then all but the least of its
@@ -346,7 +347,7 @@ def components(nodes: DataFrame, links: DataFrame, name: str, rounds: int = 60)
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
     before = None
-    for k in range(rounds):
+    for k in count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
