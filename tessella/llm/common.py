@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -59,6 +60,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffles and broadcasts of finished steps.
+
+    Spark's cleaner drops them once the driver's JVM has collected their plans; in jobs of
+    many short steps that would else happen only when the heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh, python_workers, session, staged
+from tessella.llm.common import fresh, python_workers, session, staged, tidy
 
 #: Buckets of the sketch, registers in a band. At a similarity of 0.8 a pair shares no
 #: band with a probability of (1 - 0.8 ** 6) ** 32, some 6 in 100,000.
@@ -231,6 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
 
     hundredths = round(100 * least)
     pairs = staged(pairs, f"{name}-pairs")
+    tidy(session(pairs))
     kind = pairs.schema["a"].dataType.simpleString()
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
@@ -356,6 +357,7 @@ def components(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
         moved = large.join(small, "u").select(F.expr("if(v = m, u, v)").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = staged(moved, f"{name}-{k}")
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        tidy(session(edges))
         if mark == before:
             break
         before = mark
