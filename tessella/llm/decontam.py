@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. One pass over the texts finds which
-n-grams of test items each document holds, which also gives the document frequency of
-every item n-gram over the whole corpus. Each item keeps as seeds the rarer half of its
-own n-grams; the bound is relative to the item, so an item that leaked into a third of the
-corpus still has seeds. Documents that share a seed with an item are candidates, and a
-word-level Smith-Waterman alignment around the seeds scores them: 1 is a verbatim copy;
-substitutions, insertions and deletions lower the score.
+Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however
+many or few documents hold it: a document that shares one with an item is compared with it by
+a word-level Smith-Waterman alignment around the seeds. 1 is a verbatim copy; substitutions,
+insertions and deletions lower the score. Where two upper bounds of the alignment's score,
+from the words that the item and the stretch of text share, stay below the least score, the
+alignment itself is left out, which changes no result.
+
+A copy so edited that no SEED of its words in a row are left, such as one with every third
+word replaced, shares no seed and is not found.
 
 Test items are handled in blocks of BLOCK_ITEMS, and a block's items are what is
 broadcast; a larger benchmark means more blocks, not a larger broadcast.
@@ -62,6 +64,7 @@ class Items:
         self.base = base
         self.grams = np.array(sorted(grams), np.int64)
         self.places = [grams[int(g)] for g in self.grams]
+        self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
     @staticmethod
     def codes(w: np.ndarray, base: np.int64) -> np.ndarray:
@@ -74,15 +77,16 @@ class Items:
             out = out * base + (w[k : len(w) - n + 1 + k] + 1)
         return out
 
-    def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram numbers, word positions) of the item n-grams in a text."""
-        if not text or not len(self.grams):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+    def numbered(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words, -1 where no item holds the word."""
         get = self.number.get
         words = words_of(text)
-        w = np.fromiter((get(x, -1) for x in words), np.int64, len(words))
+        return np.fromiter((get(x, -1) for x in words), np.int64, len(words))
+
+    def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-gram numbers, word positions) of the item n-grams in a text of numbered words."""
         ns, ats = [], []
-        for n in sorted({min(SEED, len(x)) for x in self.words if len(x)}):
+        for n in self.lengths:
             if len(w) < n:
                 continue
             known = np.ones(len(w) - n + 1, bool)
@@ -126,6 +130,27 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _run(hit: np.ndarray) -> int:
+    """The best sum of a stretch of words, HIT for each marked one and the lighter penalty for each other."""
+    sums = np.concatenate([[0], np.where(hit, HIT, max(MISS, GAP)).cumsum()])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
+def _bound(item: np.ndarray, text: np.ndarray, mark: np.ndarray) -> int:
+    """No alignment of `item` and `text` scores more: each word that it passes over is matched or costs.
+
+    `mark` holds False for every word number and one more, and does so again afterwards.
+    """
+    mark[item] = True
+    top = _run(mark[text])
+    mark[item] = False
+    mark[text] = True
+    mark[-1] = False
+    top = min(top, _run(mark[item]))
+    mark[text] = False
+    return top
+
+
 def _windows(at: np.ndarray, offset: np.ndarray, length: int, total: int) -> list[tuple[int, int]]:
     """Word ranges of a text that the seeds point to, merged where they overlap."""
     slack = int(length * SLACK) + 3
@@ -167,39 +192,12 @@ def _leaks_of_block(rows: DataFrame, items: Items, id_kind: str, item_kind: str)
     spark = session(rows)
     sent = spark.sparkContext.broadcast(items)
 
-    def seeds(batches: Iterator[Any]) -> Iterator[Any]:
-        block = sent.value
-        for b in batches:
-            ids, grams = [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                found, _ = block.found(t)
-                if len(found):
-                    ids.append(k)
-                    grams.append(np.unique(found).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "grams"])
-
-    held = staged(rows.mapInArrow(seeds, f"doc_id {id_kind}, grams array<bigint>"), "held")
-    # one row per item n-gram: as large as the block, whatever the corpus
-    counted = {r["gram"]: r["df"] for r in held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).collect()}
-    rare = _rare(items, counted)
-    is_seed = spark.createDataFrame([(g,) for g in sorted({g for g, _, _ in rare})], "gram bigint")
-    hit = held.select("doc_id", F.explode("grams").alias("gram")).join(F.broadcast(is_seed), "gram", "left_semi")
-    hit = staged(hit.select(F.col("doc_id").alias("hit_id")).distinct(), "candidates")
-    few = hit.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-
-    places: dict[int, list[tuple[int, int]]] = {}
-    for g, k, at in rare:
-        places.setdefault(g, []).append((k, at))
-    chosen = spark.sparkContext.broadcast(places)
-
     def aligned(batches: Iterator[Any]) -> Iterator[Any]:
-        block, where = sent.value, chosen.value
-        get = block.number.get
+        block = sent.value
         for b in batches:
             ids, found = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                for leak in leaks_in(block, where, t, get):
+                for leak in leaks_in(block, t):
                     ids.append(k)
                     found.append(leak)
             cols = list(zip(*found, strict=True)) or [[]] * 4
@@ -208,7 +206,7 @@ def _leaks_of_block(rows: DataFrame, items: Items, id_kind: str, item_kind: str)
                 names=["doc_id", "item_id", "score", "first_word", "end_word"],
             )
 
-    return texts.mapInArrow(aligned, f"doc_id {id_kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint")
+    return rows.mapInArrow(aligned, f"doc_id {id_kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint")
 
 
 def _arrow(kind: str) -> Any:
@@ -217,36 +215,27 @@ def _arrow(kind: str) -> Any:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _rare(items: Items, df: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(n-gram, item, place) of each item's seeds: its n-grams up to their median document frequency."""
-    of_item: list[list[tuple[int, int]]] = [[] for _ in items.ids]
-    for g, places in enumerate(items.places):
-        for k, at in places:
-            of_item[k].append((g, at))
-    out = []
-    for k, grams in enumerate(of_item):
-        counts = sorted(df.get(g, 0) for g, _ in grams)
-        out += [(g, k, at) for g, at in grams if df.get(g, 0) <= counts[(len(counts) - 1) // 2]]
-    return out
-
-
-def leaks_in(block: Items, places: dict[int, list[tuple[int, int]]], text: str | None, get=None) -> list[tuple[int, float, int, int]]:
+def leaks_in(block: Items, text: str | None) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word): the best alignment of each item that shares a seed with the text."""
-    found, at = block.found(text)
+    words = block.numbered(text)
+    found, at = block.found(words)
     seeds: dict[int, list[tuple[int, int]]] = {}
     for g, a in zip(found.tolist(), at.tolist(), strict=True):
-        for k, offset in places.get(g, ()):
+        for k, offset in block.places[g]:
             seeds.setdefault(k, []).append((a, offset))
     if not seeds:
         return []
-    get = get or block.number.get
-    words = np.array([get(w, -1) for w in words_of(text)], np.int64)
+    mark = np.zeros(len(block.number) + 1, bool)
     out = []
     for k, pairs in sorted(seeds.items()):
         item = block.words[k]
+        least = max(LEAST * HIT * len(item), HIT * min(LEAST_WORDS, len(item)))
         a, offset = np.array(pairs).T
         best = (0, 0, 0)
         for lo, hi in _windows(a, offset, len(item), len(words)):
+            top = _bound(item, words[lo:hi], mark)
+            if top < least - 1e-6 or top <= best[0]:
+                continue
             score, first, end = align(item, words[lo:hi])
             if score > best[0]:
                 best = score, lo + first, lo + end

@@ -67,6 +67,52 @@ def test_finds_edited_copies(spark, benchmark, how):
     assert len(found) >= 38
 
 
+def partly(words, how):
+    if how == "half":
+        return words[: (len(words) + 1) // 2]
+    return [f"zz{k}" if k % how == how - 1 else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("beside", [False, True])
+@pytest.mark.parametrize("how", [4, 5, "half"])
+def test_finds_copies_that_lack_an_items_rarer_half(spark, benchmark, how, beside):
+    """Every 4th or 5th word replaced, or half of the item quoted; alone or where another document holds the item verbatim."""
+    hosts = [t for _, t in texts_of(SF, 40)]
+    items = [(r.item_id, dc.words_of(r.text)) for r in benchmark.orderBy("item_id").collect()]
+    edited = [(k, f"{h[:400]} {' '.join(partly(w, how))} {h[400:900]}") for k, ((_, w), h) in enumerate(zip(items, hosts, strict=True))]
+    whole = [(100 + k, f"{h[:300]} {' '.join(w)}") for k, ((_, w), h) in enumerate(zip(items, hosts, strict=True))] if beside else []
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(spark.createDataFrame(edited + whole, "doc_id long, text string"), benchmark).collect()}
+    want = {(k, i) for k, (i, w) in enumerate(items) if slow_score(w, partly(w, how)) >= dc.HIT * max(dc.LEAST * len(w), min(dc.LEAST_WORDS, len(w)))}
+    assert len(want) >= 20 and want <= got
+
+
+def test_bounds_leave_out_no_alignment():
+    import numpy as np
+
+    r = random.Random(5)
+    mark = np.zeros(13, bool)
+    for _ in range(500):
+        item = np.array([r.randrange(12) for _ in range(r.randrange(1, 20))])
+        text = np.array([r.randrange(-1, 12) for _ in range(r.randrange(1, 40))])
+        assert dc._bound(item, text, mark) >= dc.align(item, text)[0] and not mark.any()
+
+
+def test_every_pair_with_a_shared_seed_is_judged_as_by_whole_alignment(benchmark):
+    block = dc.Items([(r.item_id, r.text) for r in benchmark.orderBy("item_id").collect()])
+    pairs = 0
+    for _, t in texts_of(SF):
+        words = block.numbered(t)
+        near = {k for g in block.found(words)[0].tolist() for k, _ in block.places[g]}
+        pairs += len(near)
+        want = set()
+        for k in near:
+            item = block.words[k]
+            if dc.align(item, words)[0] >= dc.HIT * max(dc.LEAST * len(item), min(dc.LEAST_WORDS, len(item))) - 1e-6:
+                want.add(k)
+        assert {k for k, *_ in dc.leaks_in(block, t)} == want
+    assert pairs > 30
+
+
 def test_an_item_in_a_third_of_all_rows_is_still_found(spark, benchmark):
     item = benchmark.where("item_id = 3").first()
     rows = [(k, f"{t[:300]} {item.text}" if k % 3 == 0 else t[:300]) for k, (_, t) in enumerate(texts_of(SF, 300))]
