@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings (4 to 7 letters), counted by occurrence: the second
-occurrence of a term in a text is a term of its own, up to the fourth, so that frequency
-counts. The vocabulary holds the terms that the labelled sample ties to the label. Texts
-become TF-IDF vectors over it; the K nearest examples by cosine vote, weighted by
+occurrence of a term in a text is a term of its own, and so is each further one, so that
+frequency counts. The vocabulary is learned from the labels: it holds every term that the
+labelled sample ties to label 1 (LEAST_TRUE, LEAST_Z, LEAST_LIFT), however many, and no other.
+The cosine is exact over that vocabulary, not over all words of the texts. Texts become TF-IDF vectors over it; the K nearest examples by cosine vote, weighted by
 distance, and an isotonic fit on leave-one-out votes of the examples calibrates the score.
 A text without any term has no neighbours and gets the rate of such examples.
 
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import labelled_sample, python_workers, session
 
 SAMPLE_ROWS, MAX_CHARS = 6_000, 20_000
-#: Vocabulary: most terms, least examples of label 1 with the term, least z of its log odds, least lift.
-TERMS, LEAST_TRUE, LEAST_Z, LEAST_LIFT = 400, 4, 4.0, 3.0
-OCCURRENCES, BEGINNINGS = 4, (4, 5, 6, 7)
+#: Vocabulary: least examples of label 1 with the term, least z of its log odds, least lift.
+LEAST_TRUE, LEAST_Z, LEAST_LIFT = 4, 4.0, 3.0
+BEGINNINGS = (4, 5, 6, 7)
 K, BLOCK, NEAR, PRIOR_VOTES = 24, 32, 0.05, 1.0
 KNOWN_WORDS, KNOWN_VECTORS = 300_000, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +54,7 @@ def _counted(words: list[str], known) -> frozenset:
     for w in words:
         for t in known(w):
             count[t] += 1
-    return frozenset((t, k) for t, n in count.items() for k in range(1, min(n, OCCURRENCES) + 1))
+    return frozenset((t, k) for t, n in count.items() for k in range(1, n + 1))
 
 
 class Examples:
@@ -103,7 +104,7 @@ class Examples:
             z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if z >= LEAST_Z and a / n1 >= LEAST_LIFT * b / max(1, n0):
                 scored.append((-z, t))
-        return {t: k for k, (_, t) in enumerate(sorted(scored)[:TERMS])}
+        return {t: k for k, (_, t) in enumerate(sorted(scored))}
 
     def vector(self, found: frozenset) -> dict[tuple[str, int], float]:
         length = np.sqrt(sum(self.idf[t] ** 2 for t in found))
@@ -178,7 +179,7 @@ class Scorer:
         count: Counter = Counter()
         for terms in filter(None, map(self.words.__getitem__, _WORD.findall((text or "").lower()))):
             count.update(terms)
-        found = frozenset((t, k) for t, n in count.items() for k in range(1, min(n, OCCURRENCES) + 1) if (t, k) in self.examples.vocabulary)
+        found = frozenset((t, k) for t, n in count.items() for k in range(1, n + 1) if (t, k) in self.examples.vocabulary)
         if found not in self.vectors:
             if len(self.vectors) >= KNOWN_VECTORS:
                 self.vectors.clear()

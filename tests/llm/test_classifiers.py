@@ -50,6 +50,16 @@ def test_toxicity_neighbours_are_exact():
         assert [j for j, _ in got] == [j for _, j in want] or np.allclose([c for _, c in got], [-c for c, _ in want])
 
 
+def test_toxicity_uses_every_tied_term_and_occurrence():
+    words = [a + b + c for a in "bcdfghjk" for b in "aeiou" for c in "lmnprstvwxyz"]
+    e = toxicity.Examples([(k, " ".join(words) if k % 2 else "calm", k % 2) for k in range(80)])
+    assert len(words) == 480 and {(w, 1) for w in words} == set(e.vocabulary)
+    e = toxicity.Examples([(k, "vile " * (7 if k % 2 else 4), k % 2) for k in range(80)])
+    assert set(e.vocabulary) == {("vile", 5), ("vile", 6), ("vile", 7)}
+    scorer = toxicity.Scorer(e)
+    assert scorer.score("vile " * 7)[0] > 0.7 > 0.3 > scorer.score("vile " * 4)[0]
+
+
 def test_quality_held_out(spark):
     rows = held(queries.op4_quality_classifier(spark, SF1).collect(), 5, 0)
     label = labels_of(spark, "quality")
