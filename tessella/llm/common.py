@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -38,13 +39,16 @@ def python_workers(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a folder below /tmp is set.
+    Only where that is unset and Spark runs in one process (tests, a laptop) a folder below
+    /tmp is set; on a cluster that is an error, as each machine would write to its own disk.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = held.get() if held.isDefined() else None
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "/tmp/checkpoints/tessella"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -52,12 +56,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut in the lineage
-    that outlives any executor. `release` removes what a session has staged."""
+    that outlives any executor. `drop` removes it, `release` all that a session has staged."""
     spark = session(df)
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex[:12]}-{name}"
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
     _STAGES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in _STAGES:
+            _STAGES.remove(p)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None) if "_staged_at" in df.__dict__ else None:
+            _delete(session(df), [path])
+
+
+class Scratch:
+    """Staged tables of one operator run: all but what `keep` has staged go at its end, also after an error."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before, self.kept = spark, set(_STAGES), set()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        self.kept.add(out._staged_at)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, [p for p in _STAGES if p not in self.before and p not in self.kept])
+
+
+#: Bytes of ids that may be broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcastable(ids: DataFrame) -> bool:
+    """Whether all values of a table of ids take less than BROADCAST_BYTES, at 16 bytes more for each."""
+    size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 16 for c in ids.columns), F.lit(0))
+    return (ids.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def tidy(spark: SparkSession) -> None:
@@ -83,11 +133,7 @@ _STAGES: list[str] = []
 
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this process. Results not yet written become unreadable."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, list(_STAGES))
 
 
 #: Elements summed in one go by `running_starts`.
@@ -114,10 +160,6 @@ def running_starts(lengths: str) -> str:
     return f"if(size({lengths}) = 0, cast(array() as array<bigint>), flatten(transform({base}, (b, c) -> {inner})))"
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, which decides the held-out folds; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
