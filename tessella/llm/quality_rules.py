@@ -1,7 +1,7 @@
 """Quality rules combined by weak supervision.
 
 Each rule looks at statistics of a whole text and votes good, bad or abstains. The votes
-of all documents that pass the two base rules are counted by pattern (at most 3 ** rules of them, whatever the corpus),
+of all documents that pass the two base rules (fewest words, most repeats) are counted by pattern (at most 3 ** rules of them, whatever the corpus),
 expectation-maximisation on these counts estimates how often each rule is right on good
 and on bad documents and how common good ones are, and each document gets the posterior
 probability of being good. Documents that fail the two base rules are never kept.
@@ -16,6 +16,7 @@ the result is empty; further columns are kept by `score_documents` and unread by
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -99,7 +100,7 @@ RULES = (
     ("symbols", lambda s: _vote(s["n_symbols"] / s["n_words"], 0.05, 0.2)),
     ("dup_lines", lambda s: _vote(s["n_dup_lines"] / max(1, s["n_lines"]), 0.1, 0.3)),
     ("repeats", lambda s: _vote(s["n_repeat_words"] / s["n_words"], 0.15, 0.4)),
-    ("variety", lambda s: 0 if s["n_words"] > 5000 else 1 if s["n_distinct"] / s["n_words"] >= 0.25 else -1 if s["n_distinct"] / s["n_words"] < 0.1 else 0),
+    ("variety", lambda s: -_vote(math.log(1 + s["n_distinct"]) / math.log(1 + s["n_words"]), 0.62, 0.75)),
     ("capitals", lambda s: _vote(s["n_upper"] / max(1, s["n_upper"] + s["n_lower"]), 0.15, 0.4)),
     ("marks", lambda s: _vote(s["n_marks"] / s["n_words"], 0.05, 0.25)),
     ("letters", lambda s: _vote(1 - (s["n_upper"] + s["n_lower"] + s["n_wide"]) / s["word_chars"], 0.07, 0.12)),
@@ -159,7 +160,7 @@ def posterior(model: dict, codes: list[int]) -> np.ndarray:
     return _posterior(v, model["share"], {1: np.array(model["right_good"]), -1: np.array(model["right_bad"])})
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict:
+def fit(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> dict:
     """The estimates from the votes on all documents that the base rules do not settle."""
     import pyarrow as pa
 
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
         seen: dict[int, int] = defaultdict(int)
         for b in batches:
             for s in map(text_stats, b.column(0).to_pylist()):
-                if not base_failed(s):
+                if not base_failed(s, min_words):
                     seen[pattern(s)] += 1
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
@@ -177,12 +178,12 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     return estimate({r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None = None, prefix: str = "") -> DataFrame:
+def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None = None, prefix: str = "", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with STATS, base_failed, quality (the posterior) and kept appended, named with `prefix`."""
     import pyarrow as pa
 
     python_workers(session(docs))
-    model = model or fit(docs, text_col)
+    model = model or fit(docs, text_col, min_words)
     at = docs.columns.index(text_col)
     added = [T.StructField(prefix + s, T.LongType()) for s in STATS] + [T.StructField(prefix + "base_failed", T.BooleanType()), T.StructField(prefix + "quality", T.DoubleType()), T.StructField(prefix + "kept", T.BooleanType())]
     names = [*docs.columns, *(f.name for f in added)]
@@ -195,7 +196,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None
             fresh = sorted(set(codes) - known.keys())
             known.update(zip(fresh, posterior(model, fresh).tolist(), strict=True))
             quality = [known[c] for c in codes]
-            failed = [base_failed(s) for s in stats]
+            failed = [base_failed(s, min_words) for s in stats]
             kept = [not f and q >= KEEP_AT for f, q in zip(failed, quality, strict=True)]
             new = [pa.array([s[k] for s in stats], pa.int64()) for k in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new, pa.array(failed, pa.bool_()), pa.array(quality, pa.float64()), pa.array(kept, pa.bool_())], names=names)
@@ -203,8 +204,8 @@ def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, *added]))
 
 
-def base_failed(stats: tuple[int, ...]) -> bool:
-    return stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEAT_PERCENT * stats[0]
+def base_failed(stats: tuple[int, ...], min_words: int = MIN_WORDS) -> bool:
+    return stats[0] < min_words or 100 * stats[4] > MAX_REPEAT_PERCENT * stats[0]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,9 +214,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return score_documents(rows).select("doc_id", *BASE_STATS, "base_failed", "kept", "quality")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
+def keep_good(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
+    """The rows of docs that the rules keep, with their own columns.
+
+    A text of few words is not rejected for that alone: length is one vote among others.
+    """
     mark = "_q_"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    return score_documents(docs, text_col, prefix=mark).where(F.col(mark + "kept")).select(*docs.columns)
+    return score_documents(docs, text_col, prefix=mark, min_words=min_words).where(F.col(mark + "kept")).select(*docs.columns)
