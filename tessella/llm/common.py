@@ -160,6 +160,22 @@ def running_starts(lengths: str) -> str:
     return f"if(size({lengths}) = 0, cast(array() as array<bigint>), flatten(transform({base}, (b, c) -> {inner})))"
 
 
+def running_maxima(values: str) -> str:
+    """SQL for the largest value before each element of an array<bigint> column, -1 for the first, in two levels as above."""
+    base = (
+        f"aggregate(sequence(0, cast((size({values}) - 1) div {CHUNK} as int)), "
+        f"named_struct('at', -1L, 'tops', cast(array() as array<bigint>)), "
+        f"(a, c) -> named_struct('at', greatest(a.at, array_max(slice({values}, c * {CHUNK} + 1, {CHUNK}))), "
+        f"'tops', array_append(a.tops, a.at)), a -> a.tops)"
+    )
+    inner = (
+        f"aggregate(slice({values}, c * {CHUNK} + 1, {CHUNK}), "
+        f"named_struct('at', b, 'out', cast(array() as array<bigint>)), "
+        f"(a, x) -> named_struct('at', greatest(a.at, x), 'out', array_append(a.out, a.at)), a -> a.out)"
+    )
+    return f"if(size({values}) = 0, cast(array() as array<bigint>), flatten(transform({base}, (b, c) -> {inner})))"
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, which decides the held-out folds; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh, running_starts
+from tessella.llm.common import fresh, running_maxima, running_starts
 
 
 @dataclass(frozen=True)
@@ -215,22 +215,53 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by `mark`; overlapping spans give one mark. Null texts stay null."""
-    name, merged = fresh(docs, "_found"), fresh(docs, "_merged")
+    name = fresh(docs, "_found")
     got = spans_of(docs, rules, id_col, text_col, out=name)
-    none = "cast(array() as array<struct<start: bigint, end: bigint>>)"
-    joined = (
-        f"aggregate({name}, {none}, (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, cast(x.end as bigint))))), "
-        "array_append(a, named_struct('start', cast(x.start as bigint), 'end', cast(x.end as bigint)))))"
-    )
-    got = got.withColumn(merged, F.expr(f"if(size({name}) > 0, {joined}, {none})"))
     text = f"`{text_col}`"
-    before = f"coalesce(get({merged}, i - 1).end, 0L)"
-    parts = f"transform({merged}, (x, i) -> concat(substring({text}, cast({before} as int) + 1, cast(x.start - {before} as int)), '{mark}'))"
-    clean = f"if(size({merged}) = 0, {text}, concat(array_join({parts}, ''), substring({text}, cast(element_at({merged}, -1).end as int) + 1)))"
+    # every value that is used more than once is bound to a name, so that it is computed once
+    clean = _bound(
+        {"t": text, "x": name},
+        "if(size(v.x) = 0, v.t, " + _bound(
+            {"x": "v.x", "to": "transform(v.x, x -> cast(x.end as bigint))", "b": _blocks("v.t"), "n": "cast(length(v.t) as bigint)"},
+            _bound(
+                {"x": "v.x", "to": "v.to", "b": "v.b", "n": "v.n", "before": running_maxima("v.to")},
+                _bound(
+                    # a mark begins where a span begins at or after all earlier ends, and ends with the last of them
+                    {"b": "v.b", "n": "v.n", "first": "filter(transform(v.x, (x, i) -> if(x.start >= v.before[i], cast(x.start as bigint), null)), x -> x is not null)",
+                     "last": "concat(array(0L), slice(filter(v.before, (m, i) -> v.x[i].start >= m), 2, size(v.x)), array(array_max(v.to)))"},
+                    f"array_join(transform(concat(v.first, array(v.n)), (s, i) -> {_cut('v.b', 'v.last[i]', 's')}), '{mark}')",
+                ),
+            ),
+        ) + ")",
+    )
     return got.withColumn(text_col, F.expr(clean)).select(*docs.columns)
 
 
+def _bound(values: dict[str, str], then: str) -> str:
+    """SQL `then`, in which v.NAME stands for each of the values, computed once."""
+    fields = ", ".join(f"'{k}', {x}" for k, x in values.items())
+    return f"transform(array(named_struct({fields})), v -> {then})[0]"
+
+
+#: Code points of a block, and of the stretches that are cut into blocks: a power of two, and some of it.
+BLOCK, STRETCH = 1 << 12, 1 << 18
+
+
+def _blocks(text: str) -> str:
+    """SQL for the blocks of a text; cut in two steps, since substring counts from the beginning of its text."""
+    cut = lambda x, size: f"transform(sequence(0, greatest(0, length({x}) - 1) div {size}), k -> substring({x}, cast(k * {size} + 1 as int), {size}))"
+    return f"flatten(transform({cut(text, STRETCH)}, y -> {cut('y', BLOCK)}))"
+
+
+def _cut(blocks: str, start: str, end: str) -> str:
+    """SQL for the code points from `start` to before `end` of a text in blocks."""
+    first, last, at = f"cast({start} div {BLOCK} as int)", f"cast({end} div {BLOCK} as int)", f"cast({start} % {BLOCK} + 1 as int)"
+    return (
+        f"if({first} = {last}, coalesce(substring(get({blocks}, {first}), {at}, cast({end} - {start} as int)), ''), "
+        f"concat(substring(get({blocks}, {first}), {at}), array_join(slice({blocks}, {first} + 2, {last} - {first} - 1), ''), coalesce(substring(get({blocks}, {last}), 1, cast({end} % {BLOCK} as int)), '')))"
+    )
+
+
 def brute_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, str, int]]:
     """What `scan` must find, by Python's own regular expressions; for tests."""
     out = []
