@@ -10,8 +10,8 @@ alignment itself is left out, which changes no result.
 A copy so edited that no SEED of its words in a row are left, such as one with every third
 word replaced, shares no seed and is not found.
 
-Test items are handled in blocks of BLOCK_ITEMS, and a block's items are what is
-broadcast; a larger benchmark means more blocks, not a larger broadcast.
+Test items are handled in blocks of BLOCK_ITEMS or BLOCK_CHARS, and a block's items are
+what is broadcast; a larger benchmark means more blocks, not a larger broadcast.
 
 Edge cases: null and empty texts and items match nothing; items with fewer words than a
 seed are one seed and must be held whole; texts of any length are read whole; repeated
@@ -29,19 +29,18 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import fresh, python_workers, session, staged
+from tessella.llm.common import broadcastable, fresh, python_workers, session, staged
 
 #: Words in a seed; scores of an alignment; least score for a leak. A leak also has to
 #: match as many words as LEAST_WORDS alone would, or the whole item if it is shorter.
 SEED, HIT, MISS, GAP, LEAST = 3, 2, -1, -1, 0.4
-#: Items in a block, and characters of an item's text that reach the driver at once are BLOCK_ITEMS times this.
-BLOCK_ITEMS = 5_000
+#: Items in a block, and characters of all their texts, about: what the driver holds and broadcasts at once.
+BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4 << 20
 LEAST_WORDS = 8
 #: Words around a seed's expected place, as a share of the item, that the alignment sees.
 SLACK = 0.5
-#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -165,9 +164,10 @@ def _windows(at: np.ndarray, offset: np.ndarray, length: int, total: int) -> lis
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[Any, str | None]]]:
-    """The items in blocks of BLOCK_ITEMS, by a hash; only one block is at the driver at a time."""
+    """The items in blocks, by a hash; only one block is at the driver at a time."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    n = -(-items.count() // BLOCK_ITEMS)
+    size = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars")).first()
+    n = max(-(-size.items // BLOCK_ITEMS), -(-(size.chars or 0) // BLOCK_CHARS))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
@@ -178,18 +178,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = session(docs)
     python_workers(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    id_kind, item_kind = rows.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
     out = None
     for block in _blocks(benchmark, item_id, item_text):
         part = _leaks_of_block(rows, Items(block), id_kind, item_kind)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], f"doc_id {id_kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint") if out is None else out
+    return spark.createDataFrame([], _found_schema(id_kind, item_kind)) if out is None else out
 
 
-def _leaks_of_block(rows: DataFrame, items: Items, id_kind: str, item_kind: str) -> DataFrame:
+def _found_schema(id_kind: T.DataType, item_kind: T.DataType) -> T.StructType:
+    more = [("score", T.DoubleType()), ("first_word", T.LongType()), ("end_word", T.LongType())]
+    return T.StructType([T.StructField(k, x) for k, x in [("doc_id", id_kind), ("item_id", item_kind), *more]])
+
+
+def _leaks_of_block(rows: DataFrame, items: Items, id_kind: T.DataType, item_kind: T.DataType) -> DataFrame:
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark = session(rows)
+    arrow = to_arrow_type(item_kind)
     sent = spark.sparkContext.broadcast(items)
 
     def aligned(batches: Iterator[Any]) -> Iterator[Any]:
@@ -202,17 +209,11 @@ def _leaks_of_block(rows: DataFrame, items: Items, id_kind: str, item_kind: str)
                     found.append(leak)
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(ids, pa.int64())), pa.array([block.ids[i] for i in cols[0]], _arrow(item_kind)), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
+                [b.column(0).take(pa.array(ids, pa.int64())), pa.array([block.ids[i] for i in cols[0]], arrow), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                 names=["doc_id", "item_id", "score", "first_word", "end_word"],
             )
 
-    return rows.mapInArrow(aligned, f"doc_id {id_kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint")
-
-
-def _arrow(kind: str) -> Any:
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return rows.mapInArrow(aligned, _found_schema(id_kind, item_kind))
 
 
 def leaks_in(block: Items, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -250,5 +251,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leak_id = fresh(docs, "_leak_id")
     leaks = find_leaks(docs, benchmark, id_col, text_col, item_id, item_text).select(F.col("doc_id").alias(leak_id)).distinct()
     leaks = staged(leaks, "leaks")
-    few = leaks.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col(id_col).eqNullSafe(F.col(leak_id)), "left_anti")
+    return docs.join(F.broadcast(leaks) if broadcastable(leaks) else leaks, F.col(id_col).eqNullSafe(F.col(leak_id)), "left_anti")

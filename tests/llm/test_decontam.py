@@ -143,3 +143,49 @@ def test_empty_tables(spark, benchmark):
     assert dc.find_leaks(no_documents(spark), benchmark).collect() == []
     assert dc.find_leaks(docs, benchmark.where("false")).collect() == []
     assert dc.drop_leaks(docs, benchmark.where("false")).count() == docs.count()
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string", "date"])
+def test_item_ids_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([("2020-01-01" if kind == "date" else "7", passage)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    docs = spark.createDataFrame([(1, f"and {passage} then"), (2, "nothing")], "doc_id long, text string")
+    got = dc.find_leaks(docs, items)
+    assert dict(got.dtypes)["item_id"] == kind and [(r.doc_id, r.item_id) for r in got.collect()] == [(1, items.first().item_id)]
+
+
+def test_blocks_are_bounded_in_characters(spark, monkeypatch, benchmark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = sorted(dc.find_leaks(docs, benchmark).collect())
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 4000)
+    assert len(list(dc._blocks(benchmark, "item_id", "text"))) > 1
+    assert sorted(dc.find_leaks(docs, benchmark).collect()) == whole
+
+
+def test_recall_against_full_alignment(spark, benchmark):
+    """Every item aligned with every whole document of a sample that holds edited copies: what scores enough is found."""
+    import numpy as np
+
+    r = random.Random(11)
+    items = {x.item_id: x.text for x in benchmark.collect()}
+    docs = texts_of(SF)[::12]
+    for n, (k, t) in enumerate(sorted(items.items())[:24]):
+        copy = edits(t.split(), ("replace", "drop", "insert", "shout")[n % 4], r)
+        docs.append((10_000 + n, f"{docs[n][1]} {' '.join(copy)} {docs[n + 1][1]}"))
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in dc.words_of(t)], np.int64)
+    codes = {k: coded(t) for k, t in items.items()}
+    want = {}
+    for i, t in docs:
+        text = coded(t)
+        for k, item in codes.items():
+            if len(item) and len(text) and np.isin(item, text).sum() >= dc.LEAST * len(item):  # else no alignment scores enough
+                score = dc.align(item, text)[0]
+                if score >= max(dc.LEAST * dc.HIT * len(item), dc.HIT * min(dc.LEAST_WORDS, len(item))):
+                    want[i, k] = score / (dc.HIT * len(item))
+    got = {(x.doc_id, x.item_id): x.score for x in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert len(want) >= 24 and set(got) <= set(want)
+    assert len(set(got) & set(want)) >= 0.95 * len(want)
+    assert sum(abs(got[p] - want[p]) < 1e-9 for p in got) >= 0.95 * len(got)
