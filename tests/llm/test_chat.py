@@ -46,6 +46,12 @@ def test_long_conversation(spark):
     assert got.loss_text == "".join(x for _, _, r, x in turns if r == "assistant")
 
 
+def test_very_long_text(spark):
+    text = "é<|im_end|> plain words | \\ " * 40_000  # over 1 MB
+    got = formatted(spark, [(1, 0, "user", "q"), (1, 1, "assistant", text)])[1]
+    assert got.loss_text == text and [(t.role, t.text) for t in got.turns] == [("user", "q"), ("assistant", text)]
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(alphabet="<|>\\ai_\nsm é", max_size=12)), min_size=1, max_size=60))
 def test_any_text_survives(spark, turns):
