@@ -3,15 +3,17 @@
 The kernel is the blended spectrum of presence: the number of character n-grams, n from 1
 to 4, that two texts share, divided by the root of the numbers each has. N-grams are those
 of lower-cased letters with runs of other characters as one blank, hashed into GRAM_SPACE
-places; the FEATURES places that most landmarks have count.
+places. Every place counts: in the numbers shared where a landmark has it, and always in
+the root.
 
 Landmarks are labelled texts. Nyström's map K(x, landmarks) K(landmarks)^-1/2 makes the
 kernel a finite vector, and kernel ridge regression on it gives one scorer per language
-against the rest. Batches of texts are scored by matrix products: presence times
-landmarks, times the map, times the scorers.
+against the rest. Scores are the matrix product of presence, landmarks, map and scorers.
+All but the first factor are multiplied when the model is made, so that a batch of texts is
+one product of its (sparse) presence with a table of places by languages.
 
 The sample is bounded by SAMPLE_ROWS rows of at most MAX_CHARS characters; the broadcast
-model has a size set by LANDMARKS and FEATURES.
+model has GRAM_SPACE rows at most and a column for each language.
 
 Edge cases: texts that are null or have no letter are `und` with score 0; texts of any
 length are read whole; null languages are not learned from; ties go to the first language
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import labelled_sample, python_workers, session
 
 SAMPLE_ROWS, MAX_CHARS = 3_000, 20_000
-GRAMS, GRAM_SPACE, FEATURES, LANDMARKS, RIDGE = 4, 1 << 18, 6_144, 128, 1e-3
+GRAMS, GRAM_SPACE, LANDMARKS, RIDGE = 4, 1 << 18, 128, 1e-3
 #: How much a difference of scorers counts in the score.
 SHARP = 4.0
 #: Characters read at once, so that long texts need little memory.
@@ -70,67 +72,60 @@ def gram_places(text: str | None) -> Iterator[np.ndarray]:
             yield (code * _MUL) >> np.uint32(32 - 18)
 
 
+def present(text: str | None, mark: np.ndarray) -> np.ndarray:
+    """The distinct places of a text's n-grams, in order. `mark` holds False for each place, before and after."""
+    got = False
+    for p in gram_places(text):
+        mark[p] = got = True
+    places = np.flatnonzero(mark) if got else np.empty(0, np.int64)
+    mark[places] = False
+    return places
+
+
 class Kernel:
-    """Landmarks, Nyström's map and scorers."""
+    """Landmarks, Nyström's map and scorers, multiplied into a table of places by languages."""
 
     def __init__(self, rows: list[tuple[Any, str | None, str]]):
-        places = [np.unique(np.concatenate([np.empty(0, np.uint32), *gram_places(t)])) for _, t, _ in rows]
+        mark = np.zeros(GRAM_SPACE, bool)
+        places = [present(t, mark) for _, t, _ in rows]
         rows_ok = [k for k, p in enumerate(places) if len(p)]
         self.languages = sorted({rows[k][2] for k in rows_ok})
         if not self.languages:
             return
         queues = [[k for k in rows_ok if rows[k][2] == lang] for lang in self.languages]
         marks = [q[i] for i in range(max(map(len, queues))) for q in queues if i < len(q)][:LANDMARKS]
-        count = np.zeros(GRAM_SPACE, np.int64)
-        for k in marks:
-            count[places[k]] += 1
-        chosen = np.sort(np.argsort(-count, kind="stable")[: min(FEATURES, int((count > 0).sum()))])
-        self.feature = np.full(GRAM_SPACE, -1, np.int32)
-        self.feature[chosen] = np.arange(len(chosen))
-        self.width = len(chosen)
-        self.marks = self._unit(self._rows(places[k] for k in marks))
-        k_mm = self.marks @ self.marks.T
-        value, vector = np.linalg.eigh(k_mm.astype(np.float64))
+        held = np.unique(np.concatenate([places[k] for k in marks]))
+        #: the row of each place; the last row is that of places without a landmark
+        self.row = np.full(GRAM_SPACE, len(held), np.int32)
+        self.row[held] = np.arange(len(held))
+        landmarks = np.zeros((len(held) + 1, len(marks)), np.float32)
+        for j, k in enumerate(marks):
+            landmarks[self.row[places[k]], j] = 1 / np.sqrt(len(places[k]))
+        kernel = np.array([landmarks[self.row[places[k]]].sum(0, dtype=np.float64) / np.sqrt(len(places[k])) for k in rows_ok])
+        at = {k: i for i, k in enumerate(rows_ok)}
+        value, vector = np.linalg.eigh(kernel[[at[k] for k in marks]])
         keep = value > 1e-6 * value.max()
         half = vector[:, keep] / np.sqrt(value[keep])
-        x = np.concatenate([self._unit(self._rows(places[k] for k in rows_ok[lo : lo + 256])) @ self.marks.T for lo in range(0, len(rows_ok), 256)]) @ half
-        x = np.concatenate([x, np.ones((len(x), 1))], 1)
+        x = np.concatenate([kernel @ half, np.ones((len(rows_ok), 1))], 1)
         y = np.array([[1.0 if rows[k][2] == lang else -1.0 for lang in self.languages] for k in rows_ok])
         # each language weighs the same, however often it occurs
         weight = np.zeros(len(rows_ok))
         for j in range(len(self.languages)):
             weight[y[:, j] > 0] = len(rows_ok) / (len(self.languages) * max(1, (y[:, j] > 0).sum()))
         solved = np.linalg.solve((x * weight[:, None]).T @ x + RIDGE * len(x) * np.eye(x.shape[1]), (x * weight[:, None]).T @ y)
-        self.scorers = (half @ solved[:-1]).astype(np.float32)
+        self.table = (landmarks @ (half @ solved[:-1])).astype(np.float32)
         self.offset = solved[-1]
 
-    def _rows(self, places) -> np.ndarray:
-        out = []
-        for p in places:
-            row = np.zeros(self.width + 1, np.float32)
-            row[self.feature[p]] = 1  # places without a feature fall on the last, which is cut off
-            out.append(row[:-1])
-        return np.array(out, np.float32).reshape(len(out), self.width)
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
-        rows, at = np.zeros((len(texts), self.width + 1), np.float32), []
-        for k, t in enumerate(texts):
-            got = False
-            for p in gram_places(t):
-                rows[k, self.feature[p]] = 1
-                got = True
-            if got:
-                at.append(k)
+        mark = np.zeros(GRAM_SPACE, bool)
+        places = [present(t, mark) for t in texts]
+        at = [k for k, p in enumerate(places) if len(p)]
         if at:
-            f = self._unit(rows[at, :-1]) @ self.marks.T @ self.scorers + self.offset
+            f = np.array([self.table[self.row[places[k]]].sum(0, dtype=np.float64) / np.sqrt(len(places[k])) for k in at]) + self.offset
             e = np.exp(SHARP * (f - f.max(1, keepdims=True)))
             best = f.argmax(1)
             for k, b, p in zip(at, best.tolist(), (e / e.sum(1, keepdims=True)).tolist(), strict=True):

@@ -1,4 +1,6 @@
 import collections
+import hashlib
+import math
 import zlib
 
 from pyspark.sql import functions as F
@@ -52,6 +54,35 @@ def test_growth_only_fills_the_new_shard(spark):
         last = now
 
 
+def plain_shard(key, shards):
+    """The shard that a key descends to, by plain draws at each level."""
+
+    def draw(path, weight):
+        number = int(hashlib.md5(f"{path}|{key}".encode()).hexdigest()[:13], 16)
+        return math.log((number + 1) / 2**52) / weight
+
+    at, path = shards, ""
+    for level in ("region", "rack", "shard"):
+        children = sorted({getattr(s, level) for s in at})
+        full = lambda c: f"{path}/{c}" if path else f"{c}"  # noqa: B023, E731
+        if len(children) > 1:
+            best = max((draw(full(c), sum(s.weight for s in at if getattr(s, level) == c)), c) for c in children)[1]
+        else:
+            best = children[0]
+        at, path = [s for s in at if getattr(s, level) == best], full(best)
+    return at[0].shard
+
+
+def test_draws_equal_plain_python(spark):
+    even = sh.tree(8)
+    uneven = [sh.Shard(s.region, s.rack, s.shard, 1 + s.shard / 3) for s in sh.grown(sh.tree(5))]
+    for shards in (even, sh.grown(even), uneven):
+        got = placed(spark, shards, 3000)
+        assert got == {k: plain_shard(str(k), shards) for k in range(3000)}
+    rows = sh.shard(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert all((r.shard, r.grown_shard) == (plain_shard(str(r.doc_id), even), plain_shard(str(r.doc_id), sh.grown(even))) for r in rows)
+
+
 def test_tree_shapes():
     for n in range(1, 20):
         tree = sh.tree(n)
