@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import io
+import os
 from contextlib import redirect_stdout
 
 import pytest
@@ -185,6 +186,25 @@ def test_plan_prunes_and_pushes(spark):
     assert "TakeOrderedAndProject" in plan and plan.count("Exchange") <= 3
 
 
+def test_late_rows_are_dropped_from_a_stream(spark, tmp_path):
+    day = lambda k, n: [(f"2024-01-{k:02d} 12:00:00", "x")] * n
+    schema = "ts string, kind string"
+    for k, rows in enumerate([day(1, 3), day(20, 2), day(20, 1), day(1, 50) + day(20, 1), day(28, 1), day(28, 1)]):  # the 50 come 19 days late
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+        df.write.parquet(str(tmp_path / "parts" / str(k)))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / "parts" / str(k)).glob("*.parquet"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = windowed(read_stream(spark, str(tmp_path / "in"), df.schema, 1), "ts", "1 day", "2 days", [count_all().named("n")], ["kind"])
+    q = stream.writeStream.outputMode("append").format("memory").queryName("in_time").start()
+    try:
+        q.processAllAvailable()
+        assert sorted((r.start.day, r.n) for r in spark.table("in_time").collect()) == [(1, 3), (20, 4)]
+    finally:
+        q.stop()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.orderBy("ts").repartition(3).write.parquet(str(tmp_path / "in"))
