@@ -210,8 +210,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     """a, b, na, n, linked, differs: whether the full sets of centre a and member b reach
     `least`, their sizes and their difference.
 
-    Only texts of ids in pairs are read on. Members are dealt to (centre, chunk) by bytes;
-    each chunk gets the centre's text once, sorted before its members, and is a stream.
+    Members are dealt to (centre, chunk) by bytes; each chunk gets the centre's text once,
+    sorted before its members, and is a stream.
     """
     import pyarrow as pa
 
@@ -219,8 +219,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     pairs = staged(pairs, f"{name}-pairs")
     tidy(session(pairs))
     kind = pairs.schema["a"].dataType.simpleString()
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    texts = staged(texts.join(F.broadcast(ids) if broadcastable(ids) else ids, "id", "left_semi"), f"{name}-texts")
     size = classes.select(F.col("id").alias("b"), "n_bytes")
     chunks = pairs.join(size, "b").groupBy("a").agg(F.ceil(F.sum("n_bytes") / F.lit(CHUNK_BYTES)).cast("int").alias("chunks"))
     chunks = staged(chunks.select("a", F.greatest("chunks", F.lit(1)).alias("chunks")), f"{name}-chunks")
@@ -373,6 +371,9 @@ def _linked(rows: DataFrame, words: int, least: float, also: DataFrame | None =
 
     keys = staged(centred_keys(band_keys(classes)), "keys")
     pairs = staged(keys.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    # only the texts of classes in pairs are read on
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
+    texts = staged(texts.join(F.broadcast(ids) if broadcastable(ids) else ids, "id", "left_semi"), "texts")
     stars = staged(_verified(_close(pairs, classes, least), texts, classes, words, least, "star"), "stars")
     again = staged(_recentred(stars), "again")
     moved = _verified(_close(again.select("a", "b"), classes, least), texts, classes, words, least, "moved")
@@ -410,14 +411,17 @@ def _linked(rows: DataFrame, words: int, least: float, also: DataFrame | None =
 
 def link_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links are pairs of sets with a similarity of `least` or more."""
+    return _link(docs, words, least, id_col, text_col)[0]
+
+
+def _link(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(the result of `link_documents`, whether no two rows share an id)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = F.expr("doc_id <=> component_id").alias("kept")
     with Scratch(session(docs)) as scratch:
-        if rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-            out = _linked(rows, words, least).toDF("doc_id", "n_shingles", "component_id")
-        else:
-            out = _linked_by_text(rows, words, least)
-        return scratch.keep(out.select("*", kept), "near-duplicates")
+        unique = rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+        out = (_linked if unique else _linked_by_text)(rows, words, least).toDF("doc_id", "n_shingles", "component_id")
+        return scratch.keep(out.select("*", kept), "near-duplicates"), unique
 
 
 def _linked_by_text(rows: DataFrame, words: int, least: float) -> DataFrame:
@@ -440,13 +444,15 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
 
     Of rows that share that id one stays, with the least of their texts. Rows with a null id all stay.
     """
-    kept_id, kept_text = fresh(docs, "_kept_id"), fresh(docs, "_kept_text")
-    kept = link_documents(docs, words, least, id_col, text_col).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(kept_id)).agg(F.count(F.lit(1)).alias("m"))
-    once = docs.join(kept.where("m = 1").select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
-    unknown = docs.where(F.col(id_col).isNull())
-    if kept.where("m > 1").isEmpty():
-        return once.unionByName(unknown)
+    gone_id, kept_text = fresh(docs, "_gone_id"), fresh(docs, "_kept_text")
+    linked, unique = _link(docs, words, least, id_col, text_col)
+    is_same = F.col(id_col) == F.col(gone_id)
+    gone = linked.where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(F.broadcast(gone) if broadcastable(gone) else gone, is_same, "left_anti")
+    if unique:
+        return left
+    again = staged(linked.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(gone_id)).count().where("count > 1").select(gone_id), "repeated")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.join(kept.where("m > 1").select(kept_id), F.col(id_col) == F.col(kept_id)).groupBy(kept_id).agg(F.min(text).alias(kept_text))
-    again = docs.join(first, (F.col(id_col) == F.col(kept_id)) & (text == F.col(kept_text))).select(*docs.columns).dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(unknown)
+    first = left.join(again, is_same).groupBy(gone_id).agg(F.min(text).alias(kept_text))
+    one = left.join(first, is_same & (text == F.col(kept_text))).select(*docs.columns).dropDuplicates([id_col])
+    return left.join(again, is_same, "left_anti").unionByName(one)
