@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, near_dedup, quality_rules, secret_scan, sp_codec
-from tessella.llm.common import staged
+from tessella.llm.common import Scratch, drop
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded corpus. Of what the stages write, only the last one's input is left, which the result reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before = docs
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(stage(spark, before, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
