@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh, running_maxima, running_starts
+from tessella.llm.common import broadcastable, fresh, running_maxima, running_starts, staged
 
 
 @dataclass(frozen=True)
@@ -185,8 +185,9 @@ def _verified(rows: DataFrame, text: str, rule: Rule, may: Column) -> DataFrame:
 def spans_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with a column `out`: all spans by start, then by the rules' order."""
     cand_id, cand = fresh(docs, "_cand_id"), fresh(docs, "_cand")
-    found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias(cand_id), F.col("rules").alias(cand))
-    # the text is shuffled once, as a column of docs; everything below happens after the join
+    found = staged(candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias(cand_id), F.col("rules").alias(cand)), "candidates")
+    # texts stay where they are while the candidates' ids are few enough to broadcast; beyond, they are shuffled once
+    found = F.broadcast(found) if broadcastable(found) else found
     rows = docs.join(found, F.col(id_col).eqNullSafe(F.col(cand_id)), "left")
     rows = rows.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(cand).alias("_cand"))
     for rule in rules:

@@ -1,6 +1,7 @@
 import random
 import time
 
+from tessella.llm import common
 from tessella.llm import secret_scan as ss
 from tests.llm.helpers import hard_documents, no_documents
 
@@ -26,6 +27,13 @@ def test_finds_what_brute_force_finds(spark):
     assert sum(bool(s) for _, s in want) == len(CASES)
 
 
+def test_more_candidates_than_can_be_broadcast(spark, monkeypatch):
+    docs = hard_documents(spark, CASES)
+    want = sorted((str(r.doc_id), r.spans) for r in ss.scan(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted((str(r.doc_id), r.spans) for r in ss.scan(docs).collect()) == want
+
+
 def test_empty_table(spark):
     assert ss.scan(no_documents(spark)).collect() == []
 
