@@ -36,8 +36,9 @@ from tessella.llm.common import broadcastable, fresh, python_workers, session, s
 #: Words in a seed; scores of an alignment; least score for a leak. A leak also has to
 #: match as many words as LEAST_WORDS alone would, or the whole item if it is shorter.
 SEED, HIT, MISS, GAP, LEAST = 3, 2, -1, -1, 0.4
-#: Items in a block, and characters of all their texts, about: what the driver holds and broadcasts at once.
-BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4 << 20
+#: Items in a block, and characters of all their texts, about: what the driver holds and broadcasts at once
+#: (some 9 bytes a character in all).
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 LEAST_WORDS = 8
 #: Words around a seed's expected place, as a share of the item, that the alignment sees.
 SLACK = 0.5
@@ -48,33 +49,60 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+class Places:
+    """Where the items hold each n-gram: items[starts[g] : starts[g + 1]] and the offsets there, as plain arrays."""
+
+    def __init__(self, grams: np.ndarray, items: np.ndarray, offsets: np.ndarray, total: int):
+        order = np.lexsort((offsets, items, grams))
+        self.items, self.offsets = items[order].astype(np.int32), offsets[order].astype(np.int32)
+        self.starts = np.concatenate([[0], np.bincount(grams, minlength=total).cumsum()])
+
+    def __getitem__(self, gram: int) -> list[tuple[int, int]]:
+        part = slice(self.starts[gram], self.starts[gram + 1])
+        return list(zip(self.items[part].tolist(), self.offsets[part].tolist(), strict=True))
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into `grams`, item, offset) of every place of each of them."""
+        first, n = self.starts[grams], self.starts[grams + 1] - self.starts[grams]
+        which = np.repeat(np.arange(len(grams)), n)
+        at = np.arange(len(which)) - np.repeat(n.cumsum() - n, n) + np.repeat(first, n)
+        return which, self.items[at].astype(np.int64), self.offsets[at].astype(np.int64)
+
+
 class Items:
-    """A block of test items, numbered words, and their n-grams."""
+    """A block of test items: numbered words, and the places of their n-grams.
+
+    The runs of n words that items hold are numbered by their rank among the codes (number
+    of the run without its last word, last word), so codes are exact however many words
+    there are.
+    """
 
     def __init__(self, items: list[tuple[Any, str | None]]):
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t)], np.int64) for _, t in items]
-        base = np.int64(len(self.number) + 1)
-        grams: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            for at, code in enumerate(self.codes(w, base)):
-                grams.setdefault(int(code), []).append((k, at))
-        self.base = base
-        self.grams = np.array(sorted(grams), np.int64)
-        self.places = [grams[int(g)] for g in self.grams]
-        self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
-
-    @staticmethod
-    def codes(w: np.ndarray, base: np.int64) -> np.ndarray:
-        """Codes of the n-grams of numbered words; shorter texts are one n-gram. Unknown words have number -1."""
-        n = min(SEED, len(w))
-        if not n:
-            return np.empty(0, np.int64)
-        out = np.zeros(len(w) - n + 1, np.int64)
-        for k in range(n):
-            out = out * base + (w[k : len(w) - n + 1 + k] + 1)
-        return out
+        self.mark = np.empty(0, bool)
+        self.base = len(self.number)
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        seeds = np.minimum(lengths, SEED)
+        self.lengths = sorted(set(seeds[seeds > 0].tolist()))
+        flat = np.concatenate([np.empty(0, np.int64), *self.words])
+        item = np.repeat(np.arange(len(lengths)), lengths)
+        offset = np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)
+        #: runs[n]: the sorted codes of runs of n words (of one word: their numbers); before[n]: n-grams of fewer words.
+        self.runs: dict[int, np.ndarray] = {}
+        self.before: dict[int, int] = {}
+        at, rank, total, found = np.arange(len(flat)), flat, 0, []
+        for n in range(1, max(self.lengths, default=0) + 1):
+            if n > 1:
+                whole = offset[at] + n <= lengths[item[at]]
+                at, rank = at[whole], rank[whole]
+                self.runs[n], rank = np.unique(rank * self.base + flat[at + n - 1], return_inverse=True)
+            self.before[n] = total
+            seed = seeds[item[at]] == n
+            found.append((rank[seed] + total, item[at[seed]], offset[at[seed]]))
+            total += len(self.runs[n]) if n > 1 else self.base
+        self.places = Places(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else [()] * 3)), total)
 
     def numbered(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words, -1 where no item holds the word."""
@@ -84,23 +112,29 @@ class Items:
 
     def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-gram numbers, word positions) of the item n-grams in a text of numbered words."""
-        ns, ats = [], []
-        for n in self.lengths:
-            if len(w) < n:
-                continue
-            known = np.ones(len(w) - n + 1, bool)
-            for k in range(n):
-                known &= w[k : len(w) - n + 1 + k] >= 0
-            at = np.flatnonzero(known)
-            code = np.zeros(len(at), np.int64)
-            for k in range(n):
-                code = code * self.base + (w[at + k] + 1)
-            place = np.searchsorted(self.grams, code)
-            place[place == len(self.grams)] = 0
-            hit = self.grams[place] == code
-            ns.append(place[hit])
-            ats.append(at[hit])
-        return np.concatenate([np.empty(0, np.int64), *ns]), np.concatenate([np.empty(0, np.int64), *ats])
+        ns, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at = np.flatnonzero(w >= 0)
+        rank = w[at]
+        for n in range(1, max(self.lengths, default=0) + 1):
+            if n > 1:
+                at, rank = at[at + n <= len(w)], rank[at + n <= len(w)]
+                known = w[at + n - 1] >= 0
+                at, rank = at[known], rank[known]
+                code, runs = rank * self.base + w[at + n - 1], self.runs[n]
+                place = np.searchsorted(runs, code)
+                place[place == len(runs)] = 0
+                hit = runs[place] == code
+                at, rank = at[hit], place[hit]
+            if n in self.lengths:
+                ns.append(rank + self.before[n])
+                ats.append(at)
+        return np.concatenate(ns), np.concatenate(ats)
+
+    def unmarked(self) -> np.ndarray:
+        """False for every word number and one more; made once in a worker, and left False by those who use it."""
+        if not len(self.mark):
+            self.mark = np.zeros(self.base + 1, bool)
+        return self.mark
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -220,26 +254,26 @@ def leaks_in(block: Items, text: str | None) -> list[tuple[int, float, int, int]
     """(item, score, first word, end word): the best alignment of each item that shares a seed with the text."""
     words = block.numbered(text)
     found, at = block.found(words)
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for g, a in zip(found.tolist(), at.tolist(), strict=True):
-        for k, offset in block.places[g]:
-            seeds.setdefault(k, []).append((a, offset))
-    if not seeds:
+    which, items, offsets = block.places.of(found)
+    if not len(items):
         return []
-    mark = np.zeros(len(block.number) + 1, bool)
+    order = np.argsort(items, kind="stable")
+    items, ats, offsets = items[order], at[which[order]], offsets[order]
+    ends = np.append(np.flatnonzero(items[1:] != items[:-1]) + 1, len(items)).tolist()
+    mark = block.unmarked()
     out = []
-    for k, pairs in sorted(seeds.items()):
+    for begin, end in zip([0, *ends], ends, strict=False):
+        k, a, offset = int(items[begin]), ats[begin:end], offsets[begin:end]
         item = block.words[k]
         least = max(LEAST * HIT * len(item), HIT * min(LEAST_WORDS, len(item)))
-        a, offset = np.array(pairs).T
         best = (0, 0, 0)
         for lo, hi in _windows(a, offset, len(item), len(words)):
             top = _bound(item, words[lo:hi], mark)
             if top < least - 1e-6 or top <= best[0]:
                 continue
-            score, first, end = align(item, words[lo:hi])
+            score, first, last = align(item, words[lo:hi])
             if score > best[0]:
-                best = score, lo + first, lo + end
+                best = score, lo + first, lo + last
         share = best[0] / (HIT * len(item))
         if share >= LEAST and best[0] >= HIT * min(LEAST_WORDS, len(item)):
             out.append((k, share, best[1], best[2]))
