@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from typing import Any
 
 import numpy as np
@@ -106,9 +107,8 @@ class Items:
 
     def numbered(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words, -1 where no item holds the word."""
-        get = self.number.get
         words = words_of(text)
-        return np.fromiter((get(x, -1) for x in words), np.int64, len(words))
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-gram numbers, word positions) of the item n-grams in a text of numbered words."""
