@@ -2,6 +2,7 @@
 
 import datetime as dt
 import decimal
+import random
 import io
 import os
 from contextlib import redirect_stdout
@@ -137,6 +138,31 @@ def test_shifted_sums_share_one_sum(spark):
     assert explained(out).count("partial_sum") == 1
 
 
+@pytest.mark.parametrize("kind, bits", [("tinyint", 8), ("smallint", 16), ("int", 32), ("bigint", 64), ("decimal(19,0)", 64)])
+def test_sums_in_parts_equal_plain_ones(spark, kind, bits):
+    """Both signs, the ends of the range, carries between the parts, and NULL."""
+    top = 1 << bits - 1
+    r = random.Random(bits)
+    groups = [[-top, top - 1, -1, 0, 1], [top - 1] * 9, [-top] * 9, [-1] * 70, [None, 3, -8], [None], *([r.randrange(-top, top) for _ in range(40)] for _ in range(20))]
+    rows = spark.createDataFrame([(g, str(v) if v is not None else None) for g, vs in enumerate(groups) for v in vs], "g int, v string")
+    rows = rows.select("g", rows.v.cast(kind).alias("v"))
+    got = {g: (int(s), a) for g, s, a in vals(summarize(rows, [sum_exact("v"), avg_int("v")], ["g"]))}
+    for g, vs in enumerate(groups):
+        known = [v for v in vs if v is not None]
+        total, n = sum(known), max(len(known), 1)
+        assert got[g] == (total, abs(total) // n * (1 if total > 0 else -1))
+        if -(1 << 63) + 5 * n <= total < 1 << 63:
+            some = rows.where(f"g = {g}")
+            assert vals(summarize(some, [sum_long("v"), sum_long("v", plus=-5).named("less")])) == [(total, total - 5 * len(known))]
+
+
+@pytest.mark.parametrize("v", [(1 << 63) - 1, -(1 << 63)])
+def test_a_64_bit_sum_that_does_not_fit_is_an_error(spark, v):
+    rows = spark.createDataFrame([(v,), (v,)], "v bigint")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        summarize(rows, [sum_long("v")]).collect()
+
+
 @pytest.mark.parametrize("a", [sum_exact("name"), avg_int("name"), sum_long("r"), avg_int("r"), min_("nope"), count_distinct("nope")])
 def test_aggregates_refuse(people, a):
     with pytest.raises((TypeError, ValueError)):
