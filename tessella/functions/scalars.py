@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.predicates import Predicate, all_of, field_type
-from tessella.functions.types import INTEGER_BITS, is_timestamp, literal
+from tessella.functions.types import INTEGER_BITS, is_integer, is_timestamp, literal, spark_type
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,18 @@ def regex_replace(column: str, pattern: str, replacement: str) -> Derived:
     return Derived(f"regexp_replace({column})", lambda s: F.regexp_replace(_need(s, column, _is_string, "regexp_replace"), F.lit(pattern), F.lit(replacement)))
 
 
-def add(column: str, k: int) -> Derived:
-    """Widened to 64 bits first."""
-    return Derived(f"{column} + {k}", lambda s: _need(s, column, lambda t: type(t) in INTEGER_BITS, "addition").cast("bigint") + F.lit(k).cast("bigint"))
+def add(column: str, k: int, wide: bool = False) -> Derived:
+    """Widened to 64 bits first, an error where the result does not fit; `wide`: to int128, which also takes decimals without a fraction."""
+
+    def build(schema: T.StructType) -> Column:
+        kind = spark_type("int128" if wide else "int64")
+        return _need(schema, column, is_integer if wide else lambda t: type(t) in INTEGER_BITS, "addition").cast(kind) + literal(k, kind)
+
+    return Derived(f"{column} + {k}", build)
 
 
-def subtract(column: str, k: int) -> Derived:
-    return add(column, -k).named(f"{column} - {k}")
+def subtract(column: str, k: int, wide: bool = False) -> Derived:
+    return add(column, -k, wide).named(f"{column} - {k}")
 
 
 def constant(value: Any, name: str | None = None) -> Derived:

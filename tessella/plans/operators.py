@@ -94,7 +94,7 @@ SQL["empty_avg_of_type"] = "SELECT CAST(0 AS BIGINT) AS x"
 _add(
     "sum_beyond_64_bits",
     "SELECT CAST(SUM(CAST(l_orderkey AS HUGEINT) + 9223372036854000000) AS VARCHAR) AS x FROM lineitem",
-    lambda spark, d: summarize(derive(_t(spark, d, "lineitem"), s.add("l_orderkey", 9223372036854000000).named("big")), [sum_exact("big").named("x")]).withColumn("x", F.col("x").cast("string")),
+    lambda spark, d: summarize(derive(_t(spark, d, "lineitem"), s.add("l_orderkey", 9223372036854000000, wide=True).named("big")), [sum_exact("big").named("x")]).withColumn("x", F.col("x").cast("string")),
 )
 
 

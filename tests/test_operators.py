@@ -7,6 +7,7 @@ import io
 import os
 from contextlib import redirect_stdout
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tessella.functions import scalars as s
 from tessella.functions.aggregates import avg, avg_int, avg_real, count_all, count_distinct, max_, min_, sum_exact, sum_long
 from tessella.functions.predicates import Predicate, eq, ge, gt, isin, le, like, lt, ne, not_like
 from tessella.operators.relational import derive, having, limit, order, project, scan, summarize, top, where
+from tessella.plans import operators
 from tessella.streaming.continuous import read_stream, windowed
 from tests.conftest import SF
 
@@ -94,6 +96,33 @@ def test_narrow_integers_are_widened(spark):
     assert vals(derive(df, s.add("a", 1)))[0][1] == 128
 
 
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "decimal(19,0)", "decimal(38,0)"])
+def test_wide_additions_go_beyond_64_bits(spark, kind):
+    df = spark.createDataFrame([(127,), (-128,), (None,)], "a int").select(F.col("a").cast(kind))
+    out = derive(df, s.add("a", 2**63 - 1, wide=True).named("x"), s.subtract("a", 2**63, wide=True).named("y"), s.add("x", 10**30, wide=True).named("z"))
+    assert {t for c, t in out.dtypes if c != "a"} == {"decimal(38,0)"}
+    assert vals(out.select("x", "y", "z")) == [(2**63 + 126, -(2**63) + 127, 2**63 + 126 + 10**30), (2**63 - 129, -(2**63) - 128, 2**63 - 129 + 10**30), (None, None, None)]
+
+
+def test_additions_that_do_not_fit_are_errors(spark):
+    df = spark.createDataFrame([(2**63 - 1,)], "a long").withColumn("b", F.lit(decimal.Decimal(10**38 - 1)))
+    assert vals(derive(df, s.add("a", 2**63 - 1, wide=True).named("x")).select("x")) == [(2**64 - 2,)]
+    for d in (s.add("a", 1), s.subtract("a", -1), s.add("b", 1, wide=True)):
+        with pytest.raises(Exception, match="OVERFLOW|OUT_OF_RANGE"):
+            derive(df, d).collect()
+    for d in (s.add("a", 2**63), s.add("b", 1), s.add("a", 10**38, wide=True), s.add("name", 1, wide=True), s.add("r", 1, wide=True)):
+        with pytest.raises((TypeError, ValueError)):
+            derive(df.withColumns({"name": F.lit("x"), "r": F.lit(1.5)}), d)
+
+
+def test_the_query_of_sums_beyond_64_bits_takes_large_keys(spark, tmp_path):
+    """The shift leaves 775,807 below 2 ** 63; larger tables have larger keys."""
+    path = tmp_path / "lineitem.parquet"
+    duckdb.execute(f"COPY (SELECT CAST(unnest([0, 775807, 775808, 8999999, 9223372036854775807, -9223372036854775808, NULL]) AS BIGINT) AS l_orderkey) TO '{path}' (FORMAT parquet)")
+    want = duckdb.execute(operators.SQL["sum_beyond_64_bits"].replace("lineitem", f"'{path}'")).fetchall()
+    assert vals(operators.QUERIES["sum_beyond_64_bits"](spark, str(tmp_path))) == want
+
+
 @pytest.mark.parametrize("d", [s.minute("name"), s.byte_length("id"), s.add("name", 1), s.regex_replace("id", "a", "b"), s.alias("nope", "x"), s.constant(1, "id"), s.case_when([], "a", "b", "x")])
 def test_transforms_refuse(people, d):
     with pytest.raises((TypeError, ValueError)):
